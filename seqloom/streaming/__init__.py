@@ -1,0 +1,5 @@
+"""The workload is batch only: it has no stream source, watermark or late data.
+
+The package is kept so that the layout is complete; every operator takes and
+returns plain DataFrames, so stateless ones also run inside ``foreachBatch``.
+"""
