@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import sequence_queries
+from seqloom.plans import segment_queries, sequence_queries
 
-_MODULES = (sequence_queries,)
+_MODULES = (sequence_queries, segment_queries)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}

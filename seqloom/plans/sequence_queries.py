@@ -11,6 +11,7 @@ from seqloom.operators import ordered as O
 from seqloom.operators import projection as P
 from seqloom.operators.notes import notes
 from seqloom.plans import sql_parts as Q
+from seqloom.plans.pipeline import series_frame
 from seqloom.plans.sql_parts import query
 from seqloom.session import table
 from seqloom.sources.tables import TRACK, chord_label, chord_sequence, event_sequence, metadata
@@ -32,12 +33,6 @@ def asof_key_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.df.select(TRACK, "pos", "chord", "key", "global_key")
 
 
-def series_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with both series values."""
-    return (chord_sequence(spark, sf_dir).df
-            .withColumn("offset", P.offset_value()).withColumn("profile", P.profile_value()))
-
-
 def offset_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_frame(spark, sf_dir).select(TRACK, "pos", "chord", "prev_chord", "offset")
 

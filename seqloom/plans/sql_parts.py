@@ -122,3 +122,113 @@ ticks AS (
 
 def query(parts: str, select: str) -> str:
     return f"WITH {parts}\n{select}"
+
+
+def _floats(values) -> str:
+    return "[" + ",".join(repr(float(v)) for v in values) + "]"
+
+
+def _curve_parts() -> str:
+    import math
+
+    taper = math.sqrt(0.5) / (8 * 0.5)
+    signed = [0.0 if k == 0 else (1 if k > 0 else -1) * math.exp(-(taper * k) ** 2) for k in range(-8, 9)]
+    scale = sum(abs(c) for c in signed) ** 2
+    gauss = [math.exp(-0.5 * (k / 2.0) ** 2) for k in range(-8, 9)]
+    return f""",
+fr AS (
+  SELECT user_id, t, event_pos, chord, key, profile_d AS v,
+         list(profile_d) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS f,
+         least(t, 8) AS b
+  FROM ticks),
+fc AS (SELECT *, {_floats(signed)}[9 - b : 8 - b + len(f)] AS c FROM fr),
+nov AS (
+  SELECT user_id, t, event_pos, chord, key, v, round(list_sum(list_transform(range(1, len(f) + 1), lambda i:
+    c[i] * list_sum(list_transform(range(1, len(f) + 1), lambda j: c[j] / (1.0 + abs(f[i] - f[j]))))))
+    / {scale!r}, 9) AS novelty
+  FROM fc),
+nf AS (
+  SELECT *, list(novelty) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS f,
+         least(t, 8) AS b FROM nov),
+ng AS (SELECT *, {_floats(gauss)}[9 - b : 8 - b + len(f)] AS g FROM nf),
+sm AS (
+  SELECT * EXCLUDE (f, b, g), round(list_sum(list_transform(range(1, len(f) + 1), lambda i: f[i] * g[i]))
+                                    / list_sum(g), 9) AS smooth FROM ng),
+th AS (
+  SELECT *, round(quantile_cont(smooth, 0.5) OVER (PARTITION BY user_id ORDER BY t
+                    ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)
+                  + 0.05 * avg(smooth) OVER (PARTITION BY user_id), 9) AS threshold,
+         lag(smooth) OVER (PARTITION BY user_id ORDER BY t) AS sb,
+         lead(smooth) OVER (PARTITION BY user_id ORDER BY t) AS sa
+  FROM sm),
+pk AS (
+  SELECT *, coalesce(smooth > sb AND smooth > sa AND smooth > threshold, false) AS is_peak FROM th),
+numbered AS (
+  SELECT user_id, t, event_pos, chord, key, v,
+         CAST(sum(CAST(is_peak AS INTEGER)) OVER (PARTITION BY user_id ORDER BY t
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS seg_ord
+  FROM pk),
+segments AS (
+  SELECT user_id, seg_ord, min(t) AS t0, max(t) + 1 AS t1, list(v ORDER BY t) AS ts
+  FROM numbered GROUP BY user_id, seg_ord)
+"""
+
+
+SEGMENTS = SPANS + _curve_parts()
+
+# the two parts below may be materialised: they are read several times
+RESAMPLED = SEGMENTS + """,
+r0 AS (
+  SELECT user_id, seg_ord, ts, list_transform(range(0, 30), lambda i: round(
+    ts[CAST(floor(i * (len(ts) - 1) / 29.0) AS BIGINT) + 1] * (1 - (i * (len(ts) - 1) % 29) / 29.0)
+    + ts[least(CAST(floor(i * (len(ts) - 1) / 29.0) AS BIGINT) + 2, len(ts))]
+      * ((i * (len(ts) - 1) % 29) / 29.0), 9)) AS x
+  FROM segments),
+r1 AS MATERIALIZED (
+  SELECT *, list_filter(x, lambda v, i: i = 1 OR v <> x[i - 1]) AS cls,
+         x[1] AS f1, x[30] AS f2, list_max(x) AS mx, list_min(x) AS mn
+  FROM r0),
+r2 AS MATERIALIZED (
+  SELECT *, count(*) OVER (PARTITION BY cls) AS s,
+         row_number() OVER (PARTITION BY cls ORDER BY user_id, seg_ord) AS r FROM r1),
+sources AS (SELECT * FROM r2 WHERE (s <= 10 AND r = s) OR (s > 10 AND r > 10)),
+xs AS MATERIALIZED (SELECT x, any_value(f1) AS f1, any_value(f2) AS f2, any_value(mx) AS mx, any_value(mn) AS mn
+       FROM r2 GROUP BY x),
+xpairs AS MATERIALIZED (
+  SELECT a.x AS xa, b.x AS xb
+  FROM (SELECT DISTINCT x, f1, f2, mx, mn FROM sources) a JOIN xs b
+    ON abs(a.mx - b.mx) <= 2.000001 AND abs(a.mn - b.mn) <= 2.000001
+   AND (a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) <= 4.000001)
+"""
+
+EDGES = RESAMPLED + """,
+dtw AS (
+  SELECT xa, xb, 0 AS d,
+         list_transform(range(0, 30), lambda i: CASE WHEN i = 0 THEN (xa[1] - xb[1]) * (xa[1] - xb[1])
+                                                ELSE CAST('inf' AS DOUBLE) END) AS p1,
+         list_transform(range(0, 30), lambda i: CAST('inf' AS DOUBLE)) AS p2
+  FROM xpairs
+  UNION ALL
+  SELECT xa, xb, d + 1,
+         list_transform(range(0, 30), lambda i: CASE WHEN d + 1 - i BETWEEN 0 AND 29 THEN
+             (xa[i + 1] - xb[d + 2 - i]) * (xa[i + 1] - xb[d + 2 - i])
+             + least(coalesce(p2[i], CAST('inf' AS DOUBLE)), coalesce(p1[i], CAST('inf' AS DOUBLE)), p1[i + 1])
+           ELSE CAST('inf' AS DOUBLE) END),
+         p1
+  FROM dtw
+  WHERE d < 58 AND list_min(list_concat(p1, p2)) <= 4.000001),
+xdist AS (SELECT xa, xb, round(sqrt(p1[30]), 9) AS dist FROM dtw WHERE d = 58),
+ranked AS (
+  SELECT s.user_id AS su, s.seg_ord AS so, t.user_id AS tu, t.seg_ord AS tord, dist,
+         row_number() OVER (PARTITION BY s.user_id, s.seg_ord ORDER BY dist, t.user_id, t.seg_ord) AS rk
+  FROM sources s JOIN xdist ON xa = s.x JOIN r2 t ON t.x = xb
+  WHERE dist <= 2),
+edges AS MATERIALIZED (
+  SELECT su AS source_track, so AS source_ord, tu AS target_track, tord AS target_ord,
+         round(dist, 2) AS distance, CASE WHEN dist = 0 THEN 'same' ELSE 'sim' END AS type
+  FROM ranked WHERE rk <= 10 AND NOT (su = tu AND so = tord))
+"""
+
+
+def recursive(parts: str, select: str) -> str:
+    return f"WITH RECURSIVE {parts}\n{select}"
