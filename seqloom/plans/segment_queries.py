@@ -107,8 +107,7 @@ def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _next_distance(metric: str, constraint: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = pair_distances(adjacent_pairs(spark, sf_dir), metric, constraint)
-        return d.withColumn("distance", F.round("distance", 6))
+        return pair_distances(adjacent_pairs(spark, sf_dir), metric, constraint)
     return run
 
 
@@ -192,7 +191,7 @@ INF = "CAST('inf' AS DOUBLE)"
 def _diagonal_sql(cost: str, step: str, edge: str, final: str, inside: str = "true") -> str:
     """``step`` combines ``c`` (cost) with the three predecessors ``dg``, ``up``, ``lf``."""
     def cell(d: str) -> str:
-        dg = f"CASE WHEN i = 0 AND {d} - i = 0 THEN 0.0 ELSE coalesce(p2[i], {edge}) END"
+        dg = f"CASE WHEN i = 0 AND {d} - i = 0 THEN CAST(0 AS DOUBLE) ELSE coalesce(p2[i], {edge}) END"
         up = f"coalesce(p1[i], {edge})"
         lf = f"CASE WHEN {d} - i = 0 THEN {edge} ELSE p1[i + 1] END"
         c = cost.replace("$i", "(i + 1)").replace("$j", f"({d} - i + 1)")
@@ -209,7 +208,7 @@ def _diagonal_sql(cost: str, step: str, edge: str, final: str, inside: str = "tr
           UNION ALL
           SELECT user_id, seg_ord, a, b, n, m, d + 1, {cell('(d + 1)')}, p1
           FROM dp WHERE d < n + m - 2)
-        SELECT user_id, seg_ord, round({final}, 6) AS distance FROM dp WHERE d = n + m - 2""")
+        SELECT user_id, seg_ord, round({final}, 9) AS distance FROM dp WHERE d = n + m - 2""")
 
 
 SQUARE = "(a[$i] - b[$j]) * (a[$i] - b[$j])"
@@ -281,7 +280,7 @@ SQL = {
     "dtw_itakura_next": _diagonal_sql(SQUARE, HARD, INF, "sqrt(p1[n])", ITAKURA),
     "lcss_next": _diagonal_sql(
         "CASE WHEN abs(a[$i] - b[$j]) <= 1 THEN 1.0 ELSE 0.0 END",
-        "CASE WHEN $c = 1 THEN coalesce($dg, 0.0) + 1 ELSE greatest($up, $lf) END", "0.0",
+        "CASE WHEN $c = 1 THEN $dg + 1 ELSE greatest($up, $lf) END", "CAST(0 AS DOUBLE)",
         "1 - p1[n] / least(n, m)"),
     "softdtw_next": _diagonal_sql(SQUARE, SOFT, INF, "p1[n]"),
     "min_area_next": query(PAIRS, """
