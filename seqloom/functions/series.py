@@ -17,20 +17,25 @@ def pattern_string(ts: Column) -> Column:
     return F.array_join(F.transform(ts, lambda x: x.cast("string")), "_")
 
 
-def resample(ts: Column, size: int) -> Column:
+def resample_to(ts: Column, size: Column) -> Column:
     """Linear interpolation at ``size`` evenly spaced positions from the first to the last."""
     last = F.size(ts) - 1
+    steps = F.greatest(size - 1, F.lit(1))
 
     def at(i: Column) -> Column:
         # i*(n-1)/(size-1) split into its integer part and an exact fraction
         num = i * last
-        lo = F.floor(num / F.lit(size - 1)).cast("int")
-        frac = (num - lo * F.lit(size - 1)) / F.lit(float(size - 1))
+        lo = F.floor(num / steps).cast("int")
+        frac = (num - lo * steps) / steps.cast("double")
         a = F.get(ts, lo).cast("double")
         b = F.get(ts, F.least(lo + 1, last)).cast("double")
         return F.round(a * (1 - frac) + b * frac, 9)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+    return F.transform(F.sequence(F.lit(0), size - 1), at)
+
+
+def resample(ts: Column, size: int) -> Column:
+    return resample_to(ts, F.lit(size))
 
 
 def mean(ts: Column) -> Column:

@@ -52,42 +52,40 @@ def lowest_ids(rows: DataFrame, group: str, k: int, *carry: str) -> DataFrame:
                                   *[F.first(c).alias(c) for c in carry])
 
 
-def _cells(radius: float, spread: bool) -> list[Column]:
-    width = 2.0 * radius
-    out = []
-    for f in FEATURES:
-        if spread:
-            out.append(F.sequence(F.floor((F.col(f) - radius - 1e-9) / width),
-                                  F.floor((F.col(f) + radius + 1e-9) / width)))
-        else:
-            out.append(F.floor(F.col(f) / width))
-    return out
-
-
-def candidate_pairs(sources: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """All (source, target) pairs the four features allow within ``radius``."""
-    cells = [f"_c{i}" for i in range(len(FEATURES))]
-    t = targets.withColumns(dict(zip(cells, _cells(radius, False))))
-    s = sources.withColumnsRenamed({f: f"s_{f}" for f in FEATURES})
-    spread = sources.withColumns(dict(zip([f"_a{i}" for i in range(len(cells))], _cells(radius, True))))
-    for i, c in enumerate(cells):
-        spread = spread.withColumn(c, F.explode(f"_a{i}")).drop(f"_a{i}")
-    s = spread.withColumnsRenamed({f: f"s_{f}" for f in FEATURES})
-    hot = (t.groupBy(*cells).count().filter(F.col("count") > CELL_TARGETS)
-           .select(*cells, F.ceil(F.col("count") / CELL_TARGETS).cast("int").alias("_parts")))
-    t = (t.join(hot, cells, "left")
+def candidate_pairs(sources: DataFrame, targets: DataFrame, widths: list[float],
+                    feats: tuple[str, ...] = FEATURES) -> DataFrame:
+    """All (source, target) pairs the features allow within each source's ``radius``.
+
+    A source with cell ``width`` (at least twice its radius) meets at most two cells per
+    feature; a target lies in one cell for each of the few ``widths`` in use.
+    """
+    cells = [f"_c{i}" for i in range(len(feats))]
+    on = ["width", *cells]
+    t = targets.withColumn("width", F.explode(F.array(*[F.lit(float(w)) for w in widths])))
+    t = t.withColumns({c: F.floor(F.col(f) / F.col("width")) for c, f in zip(cells, feats)})
+    s = sources
+    for c, f in zip(cells, feats):
+        low, high = F.col(f) - F.col("radius") - 1e-9, F.col(f) + F.col("radius") + 1e-9
+        s = s.withColumn(c, F.explode(F.sequence(F.floor(low / F.col("width")), F.floor(high / F.col("width")))))
+    s = s.withColumnsRenamed({f: f"s_{f}" for f in feats})
+    # a cell with many targets is cut into parts, and its sources visit every part
+    hot = (t.groupBy(*on).count().filter(F.col("count") > CELL_TARGETS)
+           .select(*on, F.ceil(F.col("count") / CELL_TARGETS).cast("int").alias("_parts")))
+    t = (t.join(hot, on, "left")
          .withColumn("_part", F.pmod(F.xxhash64("tx"), F.coalesce("_parts", F.lit(1))).cast("int"))
          .drop("_parts"))
-    s = (s.join(hot, cells, "left")
+    s = (s.join(hot, on, "left")
          .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
          .drop("_parts"))
-    ends = ((F.col("s_f_first") - F.col("f_first")) * (F.col("s_f_first") - F.col("f_first"))
-            + (F.col("s_f_last") - F.col("f_last")) * (F.col("s_f_last") - F.col("f_last")))
-    near = ((ends <= radius * radius + 1e-9)
-            & (F.abs(F.col("s_f_max") - F.col("f_max")) <= radius + 1e-9)
-            & (F.abs(F.col("s_f_min") - F.col("f_min")) <= radius + 1e-9))
-    return (s.join(t, [*cells, "_part"]).filter(near)
-            .drop(*cells, "_part", *FEATURES, *[f"s_{f}" for f in FEATURES]))
+    gap = {f: F.abs(F.col(f"s_{f}") - F.col(f)) for f in feats}
+    near = F.lit(True)
+    for f in feats:
+        near = near & (gap[f] <= F.col("radius") + 1e-9)
+    if "f_first" in feats and "f_last" in feats:  # both ends of every path are matched pairs
+        ends = gap["f_first"] * gap["f_first"] + gap["f_last"] * gap["f_last"]
+        near = near & (ends <= F.col("radius") * F.col("radius") + 1e-9)
+    return (s.join(t, [*on, "_part"]).filter(near)
+            .drop(*on, "_part", *feats, *[f"s_{f}" for f in feats]))
 
 
 def _fixed(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -131,7 +129,9 @@ def nearest_within(sources: DataFrame, targets: DataFrame, k: int, threshold: fl
     done = None
     for radius in radii:
         last = radius == radii[-1]
-        hits = within_radius(candidate_pairs(sources, targets, radius), radius)
+        reach = sources.withColumns({"radius": F.lit(float(radius)), "width": F.lit(2.0 * radius)})
+        pairs = candidate_pairs(reach, targets, [2.0 * radius]).drop("radius")
+        hits = within_radius(pairs, radius)
         found = _nearest(hits, k)
         if last:
             return found if done is None else done.unionByName(found)

@@ -101,10 +101,9 @@ series AS (
   FROM refs2)
 """
 
-TICK_US = 14_400_000_000
-
-SPANS = SERIES + f""",
-onsets AS (SELECT *, CAST(floor((micros + {TICK_US // 2}) / {TICK_US}.0) AS BIGINT) AS q FROM series),
+def spans(tick_us: int) -> str:
+    return SERIES + f""",
+onsets AS (SELECT *, CAST(floor((micros + {tick_us // 2}) / {tick_us}.0) AS BIGINT) AS q FROM series),
 latest AS (
   SELECT * FROM onsets
   QUALIFY row_number() OVER (PARTITION BY user_id, q ORDER BY pos DESC) = 1),
@@ -120,6 +119,9 @@ ticks AS (
 """
 
 
+SPANS = spans(14_400_000_000)
+
+
 def query(parts: str, select: str) -> str:
     return f"WITH {parts}\n{select}"
 
