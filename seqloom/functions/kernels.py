@@ -1,8 +1,8 @@
 """Elastic distances on batches of series pairs (NumPy, run inside Arrow batches).
 
 Spark decides which pairs meet and where; these helpers only turn one batch of pairs into one
-array of distances. All recurrences run on the anti-diagonals of a padded (pairs, n, m) cost
-block, so the Python loop is over diagonals and never over pairs or cells.
+array of distances. All recurrences run on anti-diagonals over a whole block of pairs, so the
+Python loop is over diagonals and never over pairs or cells.
 
 Definitions: DTW is the square root of the cheapest sum of squared differences; LCSS is the
 longest common subsequence within ``eps`` over the shorter length, returned as ``1 - sim``;
@@ -15,52 +15,66 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CELLS = 4_000_000  # cells of one padded block
+CELLS = 4_000_000  # cells of the pairs of one block
+PAIRS = 4_096  # pairs of one block of short series of equal length
 
 
 def _pad(series: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(series), width))
+    """Columns are series: the pair axis is contiguous, so every step runs over whole rows."""
+    out = np.zeros((width, len(series)))
     for i, s in enumerate(series):
-        out[i, : len(s)] = s
+        out[: len(s), i] = s
     return out
 
 
-def _allowed(na: np.ndarray, nb: np.ndarray, n: int, m: int, constraint: str | None,
-             radius: float, slope: float) -> np.ndarray | None:
-    """Cells a path may use, per pair; None without a constraint."""
-    if constraint is None:
-        return None
-    i = np.arange(n)[None, :, None]
-    j = np.arange(m)[None, None, :]
-    la, lb = na[:, None, None], nb[:, None, None]
+def _allowed(i: np.ndarray, j: np.ndarray, na: np.ndarray, nb: np.ndarray, constraint: str,
+             radius: float, slope: float) -> np.ndarray:
+    """Which of the cells (i, j) a path may use, per pair."""
+    i, j = i[:, None], j[:, None]
     if constraint == "sakoe_chiba":
-        slack = np.abs(la - lb)
-        long_first = la > lb
-        low = np.where(long_first, j - radius <= i, i - radius <= j)
-        high = np.where(long_first, i <= j + slack + radius, j <= i + slack + radius)
-        return low & high
+        slack = np.abs(na - nb)
+        return np.where(na > nb, (j - radius <= i) & (i <= j + slack + radius),
+                        (i - radius <= j) & (j <= i + slack + radius))
     if constraint == "itakura":
-        steep, flat = slope * la / lb, la / lb / slope
-        lower = np.maximum(np.round(flat * j, 2), np.round(la - 1 - steep * (lb - 1 - j), 2))
-        upper = np.minimum(np.round(steep * j, 2), np.round(la - 1 - flat * (lb - 1 - j), 2))
+        steep, flat = slope * na / nb, na / nb / slope
+        lower = np.maximum(np.round(flat * j, 2), np.round(na - 1 - steep * (nb - 1 - j), 2))
+        upper = np.minimum(np.round(steep * j, 2), np.round(na - 1 - flat * (nb - 1 - j), 2))
         return (np.ceil(lower) <= i) & (i <= np.floor(upper))
     raise ValueError(f"unknown constraint {constraint!r}")
 
 
-def _sweep(cost: np.ndarray, rows: np.ndarray, cols: np.ndarray, combine, edge: float) -> np.ndarray:
-    """Fill a recurrence along anti-diagonals and read cell (rows-1, cols-1) of each pair.
+def _sweep(a: np.ndarray, b: np.ndarray, cell, combine, edge: float, rows: np.ndarray,
+           cols: np.ndarray, limit: float | None = None) -> np.ndarray:
+    """Fill a recurrence diagonal by diagonal; give cell (rows - 1, cols - 1) of each pair.
 
-    ``combine(cell, diagonal, up, left)`` gets the values of the three predecessors; outside
-    the block they are ``edge``, and the virtual start before (0, 0) is 0.
+    ``cell(x, y, i, j)`` is the local value, ``combine(cell, diagonal, up, left)`` joins it with
+    the three predecessors; outside the block they are ``edge``, and the virtual start before
+    (0, 0) is 0. Only the two latest diagonals are kept, indexed by ``i + 1``. With a ``limit``,
+    pairs whose two latest diagonals both exceed it everywhere are dropped as ``edge``.
     """
-    size, n, m = cost.shape
-    acc = np.full((size, n + 1, m + 1), edge)
-    acc[:, 0, 0] = 0.0
+    n, m, size = len(a), len(b), a.shape[1]
+    out = np.full(size, edge)
+    alive = np.arange(size)
+    older, old = np.full((n + 1, size), edge), np.full((n + 1, size), edge)
+    older[0] = 0.0
+    last = rows + cols - 2
     for d in range(n + m - 1):
-        i = np.arange(max(0, d - m + 1), min(n, d + 1))
-        j = d - i
-        acc[:, i + 1, j + 1] = combine(cost[:, i, j], acc[:, i, j], acc[:, i, j + 1], acc[:, i + 1, j])
-    return acc[np.arange(size), rows, cols]
+        lo, hi = max(0, d - m + 1), min(n - 1, d)
+        i = np.arange(lo, hi + 1)
+        x, y = a[lo:hi + 1], b[d - hi:d - lo + 1][::-1]
+        new = np.full_like(old, edge)
+        new[lo + 1:hi + 2] = combine(cell(x, y, i, d - i, alive), older[lo:hi + 1], old[lo:hi + 1], old[lo + 1:hi + 2])
+        older, old = old, new
+        ends = np.flatnonzero(last == d)
+        out[alive[ends]] = new[rows[ends], ends]
+        if limit is not None and d % 8 == 7:
+            keep = np.minimum(old.min(axis=0), older.min(axis=0)) <= limit
+            if keep.mean() < 0.8:
+                a, b, older, old = a[:, keep], b[:, keep], older[:, keep], old[:, keep]
+                alive, rows, cols, last = alive[keep], rows[keep], cols[keep], last[keep]
+                if not len(alive):
+                    break
+    return out
 
 
 def _soft_min(gamma: float):
@@ -75,29 +89,43 @@ def _soft_min(gamma: float):
 
 
 def _hard_min(cell, diagonal, up, left):
-    return cell + np.minimum(np.minimum(diagonal, up), left)
+    best = np.minimum(diagonal, up)
+    np.minimum(best, left, out=best)
+    best += cell
+    return best
+
+
+def _square(x, y, i, j, alive):
+    diff = x - y
+    diff *= diff
+    return diff
 
 
 def _block(metric: str, a: list[np.ndarray], b: list[np.ndarray], constraint, radius, slope,
            eps, gamma) -> np.ndarray:
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    n, m = int(na.max()), int(nb.max())
-    diff = _pad(a, n)[:, :, None] - _pad(b, m)[:, None, :]
-    allowed = _allowed(na, nb, n, m, constraint, radius, slope)
+    pa, pb = _pad(a, int(na.max())), _pad(b, int(nb.max()))
+
+    def allowed(i, j, alive):
+        return _allowed(i, j, na[alive], nb[alive], constraint, radius, slope)
+
     if metric == "lcss":
-        match = np.abs(diff) <= eps
+        def match(x, y, i, j, alive):
+            code = (np.abs(x - y) <= eps).astype(float)
+            return code if constraint is None else np.where(allowed(i, j, alive), code, -1.0)
 
-        def longest(cell, diagonal, up, left):
-            return np.where(cell > 0, diagonal + 1, np.where(cell == 0, np.maximum(up, left), 0.0))
+        def longest(code, diagonal, up, left):
+            return np.where(code > 0, diagonal + 1, np.where(code == 0, np.maximum(up, left), 0.0))
 
-        code = match.astype(float) if allowed is None else np.where(allowed, match, -1.0)
-        return 1.0 - _sweep(code, na, nb, longest, 0.0) / np.minimum(na, nb)
-    cost = diff * diff
+        return 1.0 - _sweep(pa, pb, match, longest, 0.0, na, nb) / np.minimum(na, nb)
     if metric == "softdtw":
-        return _sweep(cost, na, nb, _soft_min(gamma), np.inf)
-    if allowed is not None:
-        cost = np.where(allowed, cost, np.inf)
-    return np.sqrt(_sweep(cost, na, nb, _hard_min, np.inf))
+        return _sweep(pa, pb, _square, _soft_min(gamma), np.inf, na, nb)
+
+    def cost(x, y, i, j, alive):
+        c = _square(x, y, i, j, alive)
+        return c if constraint is None else np.where(allowed(i, j, alive), c, np.inf)
+
+    return np.sqrt(_sweep(pa, pb, cost, _hard_min, np.inf, na, nb))
 
 
 def _path(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -162,22 +190,25 @@ def _parts(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def equal_length_dtw(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
-    """DTW of (pairs, n) blocks; pairs that a lower bound puts beyond ``limit`` give infinity."""
+    """DTW of (pairs, n) blocks; pairs beyond ``limit`` may give infinity instead.
+
+    A lower bound (how far the values of one series lie outside the range of the other) and the
+    partial costs of the recurrence drop most of the distant pairs early.
+    """
     out = np.full(len(a), np.inf)
+    bound = (limit + 1e-9) ** 2
 
     def outside(x, y):
-        over = np.maximum(x - y.max(axis=1, keepdims=True), 0.0)
-        under = np.maximum(y.min(axis=1, keepdims=True) - x, 0.0)
-        return (over * over + under * under).sum(axis=1)
+        excess = x - np.clip(x, y.min(axis=1, keepdims=True), y.max(axis=1, keepdims=True))
+        return np.einsum("ij,ij->i", excess, excess)
 
-    todo = np.flatnonzero(np.maximum(outside(a, b), outside(b, a)) <= limit * limit + 1e-9)
+    todo = np.flatnonzero(np.maximum(outside(a, b), outside(b, a)) <= bound)
     n = a.shape[1]
-    step = max(1, CELLS // (n * n))
-    for s in range(0, len(todo), step):
-        part = todo[s:s + step]
-        diff = a[part][:, :, None] - b[part][:, None, :]
+    for s in range(0, len(todo), PAIRS):
+        part = todo[s:s + PAIRS]
         ends = np.full(len(part), n)
-        out[part] = np.sqrt(_sweep(diff * diff, ends, ends, _hard_min, np.inf))
+        out[part] = np.sqrt(_sweep(np.ascontiguousarray(a[part].T), np.ascontiguousarray(b[part].T), _square,
+                                   _hard_min, np.inf, ends, ends, bound))
     return out
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.config import DEFAULT, Config
 from seqloom.functions import kernels
@@ -52,10 +53,30 @@ def lowest_ids(rows: DataFrame, group: str, k: int, *carry: str) -> DataFrame:
                                   *[F.first(c).alias(c) for c in carry])
 
 
+def value_bits(series: str) -> Column:
+    """The values of a series as a circular 64-bit set of bins a quarter of ``width`` wide."""
+    bin_width = F.col("width") * (0.25 * (1 + 1e-6))
+    return F.aggregate(F.col(series), F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseOR(F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.floor(v / bin_width), F.lit(64)).cast("int"))))
+
+
+def widened(bits: str) -> Column:
+    """The set with two more bins on either side of each member: all values within the radius."""
+    b = F.col(bits)
+    out = b
+    for k in (1, 2):
+        for up in (k, 64 - k):
+            out = out.bitwiseOR(F.call_function("shiftleft", b, F.lit(up)).bitwiseOR(
+                F.call_function("shiftrightunsigned", b, F.lit(64 - up))))
+    return out
+
+
 def candidate_pairs(sources: DataFrame, targets: DataFrame, widths: list[float],
-                    feats: tuple[str, ...] = FEATURES) -> DataFrame:
+                    feats: tuple[str, ...] = FEATURES, pack: bool = True) -> DataFrame:
     """All (source, target) pairs the features allow within each source's ``radius``.
 
+    ``pack`` hands the series ``sx`` and ``tx`` on as bytes.
+
     A source with cell ``width`` (at least twice its radius) meets at most two cells per
     feature; a target lies in one cell for each of the few ``widths`` in use.
     """
@@ -67,7 +88,13 @@ def candidate_pairs(sources: DataFrame, targets: DataFrame, widths: list[float],
     for c, f in zip(cells, feats):
         low, high = F.col(f) - F.col("radius") - 1e-9, F.col(f) + F.col("radius") + 1e-9
         s = s.withColumn(c, F.explode(F.sequence(F.floor(low / F.col("width")), F.floor(high / F.col("width")))))
-    s = s.withColumnsRenamed({f: f"s_{f}" for f in feats})
+    # the values of either series must all have a partner in the other one
+    value_sets = {"f_max", "f_min"} <= set(feats)
+    t = t.withColumn("_bits", value_bits("tx") if value_sets else F.lit(0).cast("bigint"))
+    s = (s.withColumn("s_bits", value_bits("sx") if value_sets else F.lit(0).cast("bigint"))
+         .withColumnsRenamed({f: f"s_{f}" for f in feats}))
+    if pack:
+        t, s = t.withColumn("tx", packed("tx")), s.withColumn("sx", packed("sx"))
     # a cell with many targets is cut into parts, and its sources visit every part
     hot = (t.groupBy(*on).count().filter(F.col("count") > CELL_TARGETS)
            .select(*on, F.ceil(F.col("count") / CELL_TARGETS).cast("int").alias("_parts")))
@@ -83,35 +110,58 @@ def candidate_pairs(sources: DataFrame, targets: DataFrame, widths: list[float],
         near = near & (gap[f] <= F.col("radius") + 1e-9)
     if "f_first" in feats and "f_last" in feats:  # both ends of every path are matched pairs
         ends = gap["f_first"] * gap["f_first"] + gap["f_last"] * gap["f_last"]
-        near = near & (ends <= F.col("radius") * F.col("radius") + 1e-9)
+        near = near & (ends <= (F.col("radius") + 1e-9) * (F.col("radius") + 1e-9))
+    if value_sets:
+        near = (near & (F.col("s_bits").bitwiseAND(F.bitwise_not(widened("_bits"))) == 0)
+                & (F.col("_bits").bitwiseAND(F.bitwise_not(widened("s_bits"))) == 0))
     return (s.join(t, [*on, "_part"]).filter(near)
-            .drop(*on, "_part", *feats, *[f"s_{f}" for f in feats]))
+            .drop(*on, "_part", "_bits", "s_bits", *feats, *[f"s_{f}" for f in feats]))
 
 
-def _fixed(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+@F.arrow_udf(T.BinaryType())
+def packed(series: pa.Array) -> pa.Array:
+    """A series as the bytes of its doubles.
+
+    Pairs outnumber series by far, and bytes cross to the kernel as they are, while arrays are
+    converted element by element.
+    """
+    values = np.ascontiguousarray(series.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    ends = np.concatenate([[0], np.cumsum(series.value_lengths().to_numpy(zero_copy_only=False))])
+    return pa.Array.from_buffers(pa.binary(), len(series), [
+        None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Equally long packed series as rows of a matrix, without a copy."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.float64)[ends[0] // 8:ends[-1] // 8]
+    return flat.reshape(len(column), -1)
 
 
 def within_radius(pairs: DataFrame, radius: float) -> DataFrame:
-    """Exact DTW of the candidate pairs, keeping those within the radius."""
+    """Exact DTW of candidate pairs of packed series, keeping those within the radius."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = kernels.equal_length_dtw(_fixed(b.column("sx")), _fixed(b.column("tx")), radius)
+            if not b.num_rows:
+                continue
+            d = kernels.equal_length_dtw(unpacked(b.column("sx")), unpacked(b.column("tx")), radius)
             d = np.round(d, 9)
-            keep = d <= radius
-            out = b.append_column("distance", pa.array(d)).filter(pa.array(keep))
-            yield out.select(names)
+            yield b.append_column("distance", pa.array(d)).filter(pa.array(d <= radius)).select(names)
     schema = pairs.drop("sx", "tx").schema.add("distance", "double")
     names = [f.name for f in schema]
     return pairs.mapInArrow(run, schema)
 
 
-def _nearest(hits: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest ids per source; series are ranked before their ids are unfolded."""
-    w = Window.partitionBy("source").orderBy("distance", F.get("ids", F.lit(0)))
+def _nearest(hits: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest ids per source.
+
+    Groups of equal targets are ranked by (distance, lowest id) before their ids are unfolded:
+    a group after the k-th has k better ids before it.
+    """
+    w = Window.partitionBy("source").orderBy("distance", "group")
     few = hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    ids = few.select("source", "distance", F.explode("ids").alias("target"))
+    ids = few.join(groups, "group").select("source", "distance", F.explode("ids").alias("target"))
     w = Window.partitionBy("source").orderBy("distance", "target")
     return ids.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -124,15 +174,17 @@ def nearest_within(sources: DataFrame, targets: DataFrame, k: int, threshold: fl
     the next one, so a source with ``k`` hits is complete.
     """
     radii = radii or (threshold / 4, threshold)
-    sources = features(sources, "sx")
-    targets = features(targets, "tx")
+    sources = features(sources.select("source", "sx"), "sx")
+    # pairs carry the lowest id of a group of equal targets; the other ids are joined at the end
+    groups = targets.select(F.get("ids", F.lit(0)).alias("group"), "ids")
+    targets = features(targets.select(F.get("ids", F.lit(0)).alias("group"), "tx"), "tx")
     done = None
     for radius in radii:
         last = radius == radii[-1]
         reach = sources.withColumns({"radius": F.lit(float(radius)), "width": F.lit(2.0 * radius)})
         pairs = candidate_pairs(reach, targets, [2.0 * radius]).drop("radius")
         hits = within_radius(pairs, radius)
-        found = _nearest(hits, k)
+        found = _nearest(hits, groups, k)
         if last:
             return found if done is None else done.unionByName(found)
         # read by both branches below; storing it also cuts the lineage of the next round

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "seqloom", cores: str | int = "*", shuffle_partitions: int = 8,
@@ -26,6 +27,24 @@ def get_spark(app: str = "seqloom", cores: str | int = "*", shuffle_partitions:
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    Same as passing it with ``--py-files``: workers do not share the driver's ``sys.path``.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "seqloom"), "zip",
+                                  root, "seqloom")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``checkpoint()`` at the shared folder named by ``spark.checkpoint.dir``.
 
@@ -48,5 +67,6 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
