@@ -189,29 +189,59 @@ def _parts(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
             start = stop
 
 
-def equal_length_dtw(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
-    """DTW of (pairs, n) blocks; pairs beyond ``limit`` may give infinity instead.
+def equal_length_dtw(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, limit: float) -> np.ndarray:
+    """DTW of the rows ``a[ia]`` and ``b[ib]``; pairs beyond ``limit`` may give infinity.
 
     A lower bound (how far the values of one series lie outside the range of the other) and the
     partial costs of the recurrence drop most of the distant pairs early.
     """
-    out = np.full(len(a), np.inf)
+    out = np.full(len(ia), np.inf)
     bound = (limit + 1e-9) ** 2
+    n = a.shape[1]
+    lo_a, hi_a = a.min(axis=1, keepdims=True), a.max(axis=1, keepdims=True)
+    lo_b, hi_b = b.min(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
 
-    def outside(x, y):
-        excess = x - np.clip(x, y.min(axis=1, keepdims=True), y.max(axis=1, keepdims=True))
+    def outside(x, low, high):
+        excess = x - np.minimum(np.maximum(x, low), high)
         return np.einsum("ij,ij->i", excess, excess)
 
-    todo = np.flatnonzero(np.maximum(outside(a, b), outside(b, a)) <= bound)
-    n = a.shape[1]
-    for s in range(0, len(todo), PAIRS):
-        part = todo[s:s + PAIRS]
-        ends = np.full(len(part), n)
-        out[part] = np.sqrt(_sweep(np.ascontiguousarray(a[part].T), np.ascontiguousarray(b[part].T), _square,
-                                   _hard_min, np.inf, ends, ends, bound))
+    for s in range(0, len(ia), PAIRS):
+        i, j = ia[s:s + PAIRS], ib[s:s + PAIRS]
+        x, y = a[i], b[j]
+        near = np.flatnonzero((outside(x, lo_b[j], hi_b[j]) <= bound) & (outside(y, lo_a[i], hi_a[i]) <= bound))
+        if len(near):
+            ends = np.full(len(near), n)
+            out[s + near] = np.sqrt(_sweep(np.ascontiguousarray(x[near].T), np.ascontiguousarray(y[near].T),
+                                           _square, _hard_min, np.inf, ends, ends, bound))
     return out
 
 
+def block_hits(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
+               limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs within the limit among corresponding blocks of the rows of ``a`` and ``b``.
+
+    Block ``k`` holds the next ``na[k]`` rows of ``a`` and ``nb[k]`` of ``b``. The ends, the
+    maximum and the minimum of two series bound their distance from below.
+    """
+    slack, bound = limit + 1e-9, (limit + 1e-9) ** 2
+    fa = (a[:, 0], a[:, -1], a.max(axis=1), a.min(axis=1))
+    fb = (b[:, 0], b[:, -1], b.max(axis=1), b.min(axis=1))
+    starts_a, starts_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+    left, right = [], []
+    for sa, la, sb, lb in zip(starts_a, na, starts_b, nb):
+        gap = [p[sa:sa + la, None] - q[None, sb:sb + lb] for p, q in zip(fa, fb)]
+        ok = gap[0] * gap[0] + gap[1] * gap[1] <= bound
+        ok &= np.abs(gap[2]) <= slack
+        ok &= np.abs(gap[3]) <= slack
+        i, j = np.nonzero(ok)
+        left.append(i + sa)
+        right.append(j + sb)
+    ia, ib = np.concatenate(left), np.concatenate(right)
+    d = np.round(equal_length_dtw(a, b, ia, ib, limit), 9)
+    hit = d <= limit
+    return ia[hit], ib[hit], d[hit]
+
+
 def fluss_boundaries(ts: np.ndarray, m: int, n_regions: int) -> list[int]:
     """Region boundaries from the corrected arc curve (Gharghabi et al. 2017).
 

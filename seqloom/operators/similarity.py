@@ -33,7 +33,9 @@ from seqloom.functions.series import resample, run_collapse
 from seqloom.session import ensure_checkpoint_dir
 
 FEATURES = ("f_first", "f_last", "f_max", "f_min")
-CELL_TARGETS = 20_000  # targets of one grid cell that share a task
+CELL_TARGETS = 20_000  # targets of one grid cell that share a join key
+BLOCK = 32  # series of one block
+KEY_BLOCKS = 64  # target blocks of one grid cell that share a join key
 
 
 def features(df: DataFrame, series: str) -> DataFrame:
@@ -53,53 +55,32 @@ def lowest_ids(rows: DataFrame, group: str, k: int, *carry: str) -> DataFrame:
                                   *[F.first(c).alias(c) for c in carry])
 
 
-def value_bits(series: str) -> Column:
-    """The values of a series as a circular 64-bit set of bins a quarter of ``width`` wide."""
-    bin_width = F.col("width") * (0.25 * (1 + 1e-6))
-    return F.aggregate(F.col(series), F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseOR(F.call_function(
-        "shiftleft", F.lit(1).cast("bigint"), F.pmod(F.floor(v / bin_width), F.lit(64)).cast("int"))))
-
-
-def widened(bits: str) -> Column:
-    """The set with two more bins on either side of each member: all values within the radius."""
-    b = F.col(bits)
-    out = b
-    for k in (1, 2):
-        for up in (k, 64 - k):
-            out = out.bitwiseOR(F.call_function("shiftleft", b, F.lit(up)).bitwiseOR(
-                F.call_function("shiftrightunsigned", b, F.lit(64 - up))))
-    return out
+def _source_cells(sources: DataFrame, cells: list[str], feats: tuple[str, ...]) -> DataFrame:
+    """One row per grid cell within a source's ``radius``: at most two cells per feature."""
+    for c, f in zip(cells, feats):
+        low, high = F.col(f) - F.col("radius") - 1e-9, F.col(f) + F.col("radius") + 1e-9
+        sources = sources.withColumn(
+            c, F.explode(F.sequence(F.floor(low / F.col("width")), F.floor(high / F.col("width")))))
+    return sources
 
 
 def candidate_pairs(sources: DataFrame, targets: DataFrame, widths: list[float],
-                    feats: tuple[str, ...] = FEATURES, pack: bool = True) -> DataFrame:
-    """All (source, target) pairs the features allow within each source's ``radius``.
-
-    ``pack`` hands the series ``sx`` and ``tx`` on as bytes.
+                    feats: tuple[str, ...] = FEATURES) -> DataFrame:
+    """All (source, target) pairs the features allow within each source's own ``radius``.
 
-    A source with cell ``width`` (at least twice its radius) meets at most two cells per
-    feature; a target lies in one cell for each of the few ``widths`` in use.
+    The cell ``width`` of a source is at least twice its radius; a target lies in one cell for
+    each of the few ``widths`` in use.
     """
     cells = [f"_c{i}" for i in range(len(feats))]
     on = ["width", *cells]
     t = targets.withColumn("width", F.explode(F.array(*[F.lit(float(w)) for w in widths])))
     t = t.withColumns({c: F.floor(F.col(f) / F.col("width")) for c, f in zip(cells, feats)})
-    s = sources
-    for c, f in zip(cells, feats):
-        low, high = F.col(f) - F.col("radius") - 1e-9, F.col(f) + F.col("radius") + 1e-9
-        s = s.withColumn(c, F.explode(F.sequence(F.floor(low / F.col("width")), F.floor(high / F.col("width")))))
-    # the values of either series must all have a partner in the other one
-    value_sets = {"f_max", "f_min"} <= set(feats)
-    t = t.withColumn("_bits", value_bits("tx") if value_sets else F.lit(0).cast("bigint"))
-    s = (s.withColumn("s_bits", value_bits("sx") if value_sets else F.lit(0).cast("bigint"))
-         .withColumnsRenamed({f: f"s_{f}" for f in feats}))
-    if pack:
-        t, s = t.withColumn("tx", packed("tx")), s.withColumn("sx", packed("sx"))
+    s = _source_cells(sources, cells, feats).withColumnsRenamed({f: f"s_{f}" for f in feats})
     # a cell with many targets is cut into parts, and its sources visit every part
     hot = (t.groupBy(*on).count().filter(F.col("count") > CELL_TARGETS)
            .select(*on, F.ceil(F.col("count") / CELL_TARGETS).cast("int").alias("_parts")))
     t = (t.join(hot, on, "left")
-         .withColumn("_part", F.pmod(F.xxhash64("tx"), F.coalesce("_parts", F.lit(1))).cast("int"))
+         .withColumn("_part", F.pmod(F.xxhash64("idx"), F.coalesce("_parts", F.lit(1))).cast("int"))
          .drop("_parts"))
     s = (s.join(hot, on, "left")
          .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
@@ -111,11 +92,8 @@ def candidate_pairs(sources: DataFrame, targets: DataFrame, widths: list[float],
     if "f_first" in feats and "f_last" in feats:  # both ends of every path are matched pairs
         ends = gap["f_first"] * gap["f_first"] + gap["f_last"] * gap["f_last"]
         near = near & (ends <= (F.col("radius") + 1e-9) * (F.col("radius") + 1e-9))
-    if value_sets:
-        near = (near & (F.col("s_bits").bitwiseAND(F.bitwise_not(widened("_bits"))) == 0)
-                & (F.col("_bits").bitwiseAND(F.bitwise_not(widened("s_bits"))) == 0))
     return (s.join(t, [*on, "_part"]).filter(near)
-            .drop(*on, "_part", "_bits", "s_bits", *feats, *[f"s_{f}" for f in feats]))
+            .drop(*on, "_part", *feats, *[f"s_{f}" for f in feats]))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -139,18 +117,54 @@ def unpacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def within_radius(pairs: DataFrame, radius: float) -> DataFrame:
-    """Exact DTW of candidate pairs of packed series, keeping those within the radius."""
+def within_radius(sources: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """All ``(source, group, distance)`` with a DTW of at most the radius.
+
+    ``sources(source, sx)`` and ``targets(group, tx)`` have series of one common length. The
+    rows of a grid cell are packed into blocks of some ``BLOCK`` series, and blocks are joined
+    on the cell: the kernel receives two small blocks per row, tests all their pairs against the
+    bounds and returns only the hits, so pairs never exist as rows. Block numbers come from
+    hashed ids and the size of the cell, which keeps every block small however full the cell is;
+    a cell with many target blocks is spread over several join keys.
+    """
+    cells = [f"_c{i}" for i in range(len(FEATURES))]
+    t = features(targets, "tx")
+    t = t.select("group", packed("tx").alias("tx"),
+                 *[F.floor(F.col(f) / F.lit(2.0 * radius)).alias(c) for c, f in zip(cells, FEATURES)])
+    s = features(sources, "sx").withColumns({"radius": F.lit(float(radius)), "width": F.lit(2.0 * radius)})
+    s = s.select("source", packed("sx").alias("sx"), "radius", "width", *FEATURES)
+    s = _source_cells(s, cells, FEATURES).select("source", "sx", *cells)
+
+    def blocks(rows: DataFrame, key: str, series: str, ids: str) -> DataFrame:
+        parts = rows.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+        rows = rows.join(parts, cells).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+        return rows.groupBy(*cells, "_n", "_part").agg(
+            F.collect_list(key).alias(ids), F.collect_list(series).alias(series))
+
+    tb = blocks(t, "group", "tx", "gids").withColumn("_key", F.floor(F.col("_part") / KEY_BLOCKS).cast("int"))
+    # the sources of cells without targets leave early
+    keys = t.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / (BLOCK * KEY_BLOCKS)).cast("int").alias("_keys"))
+    sb = (blocks(s.join(keys.select(*cells), cells, "left_semi"), "source", "sx", "sids").join(keys, cells)
+          .withColumn("_key", F.explode(F.sequence(F.lit(0), F.col("_keys") - 1))))
+    joined = (sb.select(*cells, "_key", "sids", "sx")
+              .join(tb.select(*cells, "_key", "gids", "tx"), [*cells, "_key"])
+              .select("sids", "sx", "gids", "tx"))
+    schema = T.StructType([T.StructField("source", s.schema["source"].dataType),
+                           T.StructField("group", t.schema["group"].dataType),
+                           T.StructField("distance", T.DoubleType())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            d = kernels.equal_length_dtw(unpacked(b.column("sx")), unpacked(b.column("tx")), radius)
-            d = np.round(d, 9)
-            yield b.append_column("distance", pa.array(d)).filter(pa.array(d <= radius)).select(names)
-    schema = pairs.drop("sx", "tx").schema.add("distance", "double")
-    names = [f.name for f in schema]
-    return pairs.mapInArrow(run, schema)
+            sids, gids = b.column("sids"), b.column("gids")
+            a, c = unpacked(b.column("sx").flatten()), unpacked(b.column("tx").flatten())
+            ia, ic, d = kernels.block_hits(a, c, sids.value_lengths().to_numpy(), gids.value_lengths().to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays(
+                [sids.flatten().take(pa.array(ia)), gids.flatten().take(pa.array(ic)), pa.array(d)],
+                names=["source", "group", "distance"])
+
+    return joined.mapInArrow(run, schema)
 
 
 def _nearest(hits: DataFrame, groups: DataFrame, k: int) -> DataFrame:
@@ -174,16 +188,14 @@ def nearest_within(sources: DataFrame, targets: DataFrame, k: int, threshold: fl
     the next one, so a source with ``k`` hits is complete.
     """
     radii = radii or (threshold / 4, threshold)
-    sources = features(sources.select("source", "sx"), "sx")
+    sources = sources.select("source", "sx")
     # pairs carry the lowest id of a group of equal targets; the other ids are joined at the end
     groups = targets.select(F.get("ids", F.lit(0)).alias("group"), "ids")
-    targets = features(targets.select(F.get("ids", F.lit(0)).alias("group"), "tx"), "tx")
+    targets = targets.select(F.get("ids", F.lit(0)).alias("group"), "tx")
     done = None
     for radius in radii:
         last = radius == radii[-1]
-        reach = sources.withColumns({"radius": F.lit(float(radius)), "width": F.lit(2.0 * radius)})
-        pairs = candidate_pairs(reach, targets, [2.0 * radius]).drop("radius")
-        hits = within_radius(pairs, radius)
+        hits = within_radius(sources, targets, radius)
         found = _nearest(hits, groups, k)
         if last:
             return found if done is None else done.unionByName(found)

@@ -46,7 +46,7 @@ def graph(spark: SparkSession, sf_dir: str) -> K.Graph:
 
 
 def graph_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_graph(spark, sf_dir).segments
+    return graph(spark, sf_dir).segments
 
 
 def graph_next(spark: SparkSession, sf_dir: str) -> DataFrame:

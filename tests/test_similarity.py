@@ -55,7 +55,8 @@ def test_radii_and_hot_cells_do_not_change_the_result(spark, monkeypatch):
     df = spark.createDataFrame([(i, [rnd.randrange(4) for _ in range(6)]) for i in range(120)], "id long, ts array<int>")
     cfg = replace(DEFAULT, num_searches=5, resampling_size=6)
     want = sorted(map(tuple, S.similarity_edges(df, cfg, radii=(2.0,)).collect()))
-    monkeypatch.setattr(S, "CELL_TARGETS", 3)
+    monkeypatch.setattr(S, "BLOCK", 2)
+    monkeypatch.setattr(S, "KEY_BLOCKS", 2)
     assert sorted(map(tuple, S.similarity_edges(df, cfg, radii=(0.25, 1.0, 2.0)).collect())) == want
 
 
