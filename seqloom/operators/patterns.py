@@ -112,18 +112,20 @@ def known_series(seq: Ordered, kind: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("ts"))
 
 
-def coverage(segments: DataFrame, known: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def coverage(segments: DataFrame, known: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
     """How many known patterns of each length occur among the segments.
 
-    ``segments(id, ts)``, ``known(label, n_chords, ts)``. A pattern is covered if some segment
-    lies within the distance threshold after resampling; its nearest one gives the distance.
+    ``segments(id, ts, *by)``, ``known(label, n_chords, ts, *by)``. A pattern is covered if some
+    segment lies within the distance threshold after resampling; its nearest one gives the
+    distance. Columns ``by`` keep several segmentations apart in one pass.
     """
     size = cfg.resampling_size
-    targets = (segments.select("id", resample(F.col("ts"), size).alias("tx"))
-               .groupBy("tx").agg(F.array(F.min("id")).alias("ids")))
-    sources = known.select(F.col("label").alias("source"), resample(F.col("ts"), size).alias("sx"))
-    near = nearest_within(sources, targets, 1, cfg.dist_threshold).select(F.col("source").alias("label"), "distance")
-    return (known.select("label", "n_chords").join(near, "label", "left").groupBy("n_chords")
+    targets = (segments.select(*by, F.struct(*by, "id").alias("id"), resample(F.col("ts"), size).alias("tx"))
+               .groupBy(*by, "tx").agg(F.array(F.min("id")).alias("ids")))
+    sources = known.select(*by, F.struct(*by, "label").alias("source"), resample(F.col("ts"), size).alias("sx"))
+    near = (nearest_within(sources, targets, 1, cfg.dist_threshold, by=by)
+            .select(*[F.col(f"source.{c}").alias(c) for c in (*by, "label")], "distance"))
+    return (known.select(*by, "label", "n_chords").join(near, [*by, "label"], "left").groupBy(*by, "n_chords")
             .agg(F.count(F.lit(1)).alias("n_patterns"), F.count("distance").alias("n_covered"),
                  F.round(F.count("distance") / F.count(F.lit(1)), 6).alias("coverage"),
                  F.round(F.avg("distance"), 6).alias("mean_distance")))

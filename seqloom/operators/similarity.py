@@ -117,7 +117,8 @@ def unpacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def within_radius(sources: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+def within_radius(sources: DataFrame, targets: DataFrame, radius: float,
+                  by: tuple[str, ...] = ()) -> DataFrame:
     """All ``(source, group, distance)`` with a DTW of at most the radius.
 
     ``sources(source, sx)`` and ``targets(group, tx)`` have series of one common length. The
@@ -125,15 +126,17 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius: float) -> Data
     on the cell: the kernel receives two small blocks per row, tests all their pairs against the
     bounds and returns only the hits, so pairs never exist as rows. Block numbers come from
     hashed ids and the size of the cell, which keeps every block small however full the cell is;
-    a cell with many target blocks is spread over several join keys.
+    a cell with many target blocks is spread over several join keys. Columns ``by`` of both
+    sides have to be equal, too.
     """
-    cells = [f"_c{i}" for i in range(len(FEATURES))]
+    grid = [f"_c{i}" for i in range(len(FEATURES))]
+    cells = [*by, *grid]
     t = features(targets, "tx")
-    t = t.select("group", packed("tx").alias("tx"),
-                 *[F.floor(F.col(f) / F.lit(2.0 * radius)).alias(c) for c, f in zip(cells, FEATURES)])
+    t = t.select("group", packed("tx").alias("tx"), *by,
+                 *[F.floor(F.col(f) / F.lit(2.0 * radius)).alias(c) for c, f in zip(grid, FEATURES)])
     s = features(sources, "sx").withColumns({"radius": F.lit(float(radius)), "width": F.lit(2.0 * radius)})
-    s = s.select("source", packed("sx").alias("sx"), "radius", "width", *FEATURES)
-    s = _source_cells(s, cells, FEATURES).select("source", "sx", *cells)
+    s = s.select("source", packed("sx").alias("sx"), "radius", "width", *by, *FEATURES)
+    s = _source_cells(s, grid, FEATURES).select("source", "sx", *cells)
 
     def blocks(rows: DataFrame, key: str, series: str, ids: str) -> DataFrame:
         parts = rows.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
@@ -181,21 +184,21 @@ def _nearest(hits: DataFrame, groups: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_within(sources: DataFrame, targets: DataFrame, k: int, threshold: float,
-                   radii: tuple[float, ...] | None = None) -> DataFrame:
+                   radii: tuple[float, ...] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``k`` nearest targets of each source within the threshold, by growing radii.
 
-    ``sources(source, sx)``, ``targets(tx, ids)``. Everything within a radius is found before
+    ``sources(source, sx)``, ``targets(tx, ids)``; sources and ids are unique. Everything within a radius is found before
     the next one, so a source with ``k`` hits is complete.
     """
     radii = radii or (threshold / 4, threshold)
-    sources = sources.select("source", "sx")
+    sources = sources.select("source", "sx", *by)
     # pairs carry the lowest id of a group of equal targets; the other ids are joined at the end
     groups = targets.select(F.get("ids", F.lit(0)).alias("group"), "ids")
-    targets = targets.select(F.get("ids", F.lit(0)).alias("group"), "tx")
+    targets = targets.select(F.get("ids", F.lit(0)).alias("group"), "tx", *by)
     done = None
     for radius in radii:
         last = radius == radii[-1]
-        hits = within_radius(sources, targets, radius)
+        hits = within_radius(sources, targets, radius, by)
         found = _nearest(hits, groups, k)
         if last:
             return found if done is None else done.unionByName(found)

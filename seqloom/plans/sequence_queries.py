@@ -113,10 +113,9 @@ def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without any order, the report of ids that have no progression."""
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return cust.join(orders, "c_custkey", "left_anti")
+    """Catalogue entries that have no progression."""
+    seen = table(spark, sf_dir, "events").select(TRACK)
+    return metadata(spark, sf_dir).join(seen, TRACK, "left_anti").select(TRACK, "title")
 
 
 def annotation_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +235,8 @@ SQL = {
         SELECT user_id, p_name AS title, p_brand AS artist, p_type AS genre
         FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN part ON p_partkey = user_id""",
     "missing_metadata": """
-        SELECT c_custkey, c_name FROM customer
-        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+        SELECT p_partkey AS user_id, p_name AS title FROM part
+        WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = p_partkey)""",
     "annotation_explode": """
         WITH k AS (SELECT conv_id, arg_min(text, turn) AS key_text FROM conversations
                    WHERE role = 'user' GROUP BY conv_id)
