@@ -46,158 +46,131 @@ def _mask(semitones) -> int:
     return sum(1 << s for s in semitones)
 
 
-def _lookup(table: dict[str, int], key: Column) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+def _map(table: dict[str, int]) -> str:
+    return "map(" + ", ".join(f"'{k}', {v}" for k, v in table.items()) + ")"
 
 
-def is_silent(label: Column) -> Column:
-    """No chord (or key): null, empty, ``N`` or ``X``."""
-    return F.coalesce(label.isin("", "N", "X"), F.lit(True))
-
+def _array(values) -> str:
+    return "array(" + ", ".join(str(v) for v in values) + ")"
 
-def note_pc(label: Column) -> Column:
-    """Pitch class of the note a label starts with; null if it does not start with one."""
-    letter = F.regexp_extract(label, r"^([A-G])[b#]*", 1)
-    accidentals = F.regexp_extract(label, r"^[A-G]([b#]*)", 1)
-    shift = 2 * F.length(F.regexp_replace(accidentals, "b", "")) - F.length(accidentals)
-    return F.pmod(_lookup(LETTER_PC, letter) + shift, F.lit(12)).cast("int")
 
+def _let(value: str, var: str, body: str) -> str:
+    """SQL text that evaluates ``value`` once under the name ``var``."""
+    return f"get(transform(array({value}), {var} -> {body}), 0)"
 
-def rotate(mask: Column, steps: Column) -> Column:
-    """Transpose a 12-bit mask upwards."""
-    up = F.call_function("shiftleft", mask, steps)
-    down = F.call_function("shiftright", mask, F.lit(12) - steps)
-    return up.bitwiseOR(down).bitwiseAND(F.lit(4095))
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _degree_semitone(degree: Column) -> Column:
-    number = F.try_to_number(F.regexp_extract(degree, r"(\d+)", 1), F.lit("99")).cast("int")
-    accidentals = F.regexp_extract(degree, r"([b#]*)", 1)
-    shift = 2 * F.length(F.regexp_replace(accidentals, "b", "")) - F.length(accidentals)
-    natural = F.get(F.array(*[F.lit(s) for s in DEGREE_SEMITONES]), (number - 1) % 7)
-    return F.pmod(natural + shift, F.lit(12)).cast("int")
 
+def _shift(accidentals: str) -> str:
+    """Semitones of a string of sharps and flats."""
+    return f"(2 * length(replace({accidentals}, 'b', '')) - length({accidentals}))"
 
-def _degree_mask(degrees: Column, removed: bool) -> Column:
-    """Union of the degrees of a list that are (or are not) marked as left out by ``*``."""
-    chosen = F.filter(degrees, lambda d: (d != "") & (d.startswith("*") == F.lit(removed)))
-    return F.aggregate(
-        chosen, F.lit(0),
-        lambda acc, d: acc.bitwiseOR(F.coalesce(F.call_function(
-            "shiftleft", F.lit(1), _degree_semitone(F.regexp_replace(d, r"^\*", ""))), F.lit(0))))
 
+def _note_pc(label: str) -> str:
+    """Pitch class of the note a label starts with; null if it does not start with one."""
+    letter = f"try_element_at({_map(LETTER_PC)}, regexp_extract({label}, '^([A-G])[b#]*', 1))"
+    return f"pmod({letter} + {_shift(f"regexp_extract({label}, '^[A-G]([b#]*)', 1)")}, 12)"
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _silent(label: str) -> str:
+    """No chord (or key): null, empty, ``N`` or ``X``."""
+    return f"coalesce({label} IN ('', 'N', 'X'), true)"
 
-def chord_masks(label: Column) -> Column:
-    """``struct<root, root_mask, fifth_mask, chord_mask>`` of a label; null for no chord.
 
-    Grammar: ``root[b#]* (:shorthand)? ((degrees))? (/bass)?``. A bass note does not change
-    the masks. An unknown shorthand counts as a major triad. Meant for the distinct labels of
-    a corpus (``vocabulary``), which are then joined to the events.
-    """
-    tail = F.regexp_extract(label, r"^[A-G][b#]*:([^/]*)", 1)
-    parsed = F.struct(
-        note_pc(label).alias("root"), tail.alias("tail"),
-        F.regexp_extract(tail, r"^([A-Za-z0-9]*)", 1).alias("shorthand"),
-        F.split(F.regexp_replace(F.regexp_extract(tail, r"\(([^)]*)\)", 1), " ", ""), ",").alias("degrees"))
+def _rotate(mask: str | int, steps: str) -> str:
+    """Transpose a 12-bit mask upwards."""
+    return f"((shiftleft({mask}, {steps}) | shiftright({mask}, 12 - {steps})) & 4095)"
 
-    def tones(p: Column) -> Column:
-        named = _lookup({k: _mask(v) for k, v in SHORTHAND.items()}, p["shorthand"])
-        base = F.when((p["shorthand"] == "") & (p["tail"] != ""), F.lit(1)).otherwise(
-            F.coalesce(named, F.lit(_mask(SHORTHAND["maj"]))))
-        rel = base.bitwiseOR(_degree_mask(p["degrees"], False)).bitwiseAND(
-            F.bitwise_not(_degree_mask(p["degrees"], True)))
-        return F.struct(p["root"].alias("root"), rel.alias("rel"))
 
-    return let(let(parsed, tones), lambda t: F.when(
-        t["root"].isNotNull() & ~is_silent(label), mask_struct(t["root"], t["rel"])))
+def _degree_mask(degrees: str, removed: bool) -> str:
+    """Union of the degrees of a list that are (or are not) marked as left out by ``*``."""
+    number = "try_cast(regexp_extract(_d, '([0-9]+)', 1) AS int)"
+    shift = _shift("regexp_extract(_d, '([b#]*)[0-9]', 1)")
+    semitone = f"pmod(get({_array(DEGREE_SEMITONES)}, ({number} - 1) % 7) + {shift}, 12)"
+    chosen = f"filter({degrees}, _d -> _d <> '' AND startswith(_d, '*') = {str(removed).lower()})"
+    return f"aggregate({chosen}, 0, (_acc, _d) -> _acc | coalesce(shiftleft(1, {semitone}), 0))"
 
 
-def mask_struct(root: Column, rel: Column) -> Column:
+def _mask_struct(root: str, rel: str) -> str:
     """Masks of the chord with the tones ``rel`` above ``root``."""
     # the fifth of a chord is its perfect, diminished or augmented one, in this order
-    fifth = (F.when(rel.bitwiseAND(F.lit(1 << 7)) != 0, F.lit(1 << 7))
-             .when(rel.bitwiseAND(F.lit(1 << 6)) != 0, F.lit(1 << 6))
-             .when(rel.bitwiseAND(F.lit(1 << 8)) != 0, F.lit(1 << 8)).otherwise(F.lit(0)))
-    return F.struct(
-        root.alias("root"),
-        rotate(F.lit(1), root).alias("root_mask"),
-        rotate(fifth.bitwiseOR(F.lit(1)), root).alias("fifth_mask"),
-        rotate(rel, root).alias("chord_mask"))
+    fifth = "CASE " + " ".join(f"WHEN {rel} & {1 << s} <> 0 THEN {1 | 1 << s}" for s in (7, 6, 8)) + " ELSE 1 END"
+    return (f"named_struct('root', {root}, 'root_mask', {_rotate(1, root)}, "
+            f"'fifth_mask', {_rotate(f'({fifth})', root)}, 'chord_mask', {_rotate(rel, root)})")
+
 
+def chord_masks(label: str) -> Column:
+    """``struct<root, root_mask, fifth_mask, chord_mask>`` of a label column; null for no chord.
 
-def key_is_minor(key: Column) -> Column:
-    rest = F.lower(F.regexp_extract(key, r"^[A-G][b#]*:?(.*)$", 1))
-    return (rest == "m") | rest.startswith("min") | rest.startswith("aeolian")
+    Grammar: ``root[b#]* (:shorthand)? ((degrees))? (/bass)?``. A bass note does not change
+    the masks. An unknown shorthand counts as a major triad. Meant for the distinct labels of
+    a corpus (``vocabulary``), which are then joined to the events.
+    """
+    tail = f"regexp_extract({label}, '^[A-G][b#]*:([^/]*)', 1)"
+    degrees = rf"split(replace(regexp_extract(_t, r'\(([^)]*)\)', 1), ' ', ''), ',')"
+    parsed = f"named_struct('tail', _t, 'name', regexp_extract(_t, '^([A-Za-z0-9]*)', 1), 'degrees', {degrees})"
+    named = _map({k: _mask(v) for k, v in SHORTHAND.items()})
+    base = (f"CASE WHEN _p.name = '' AND _p.tail <> '' THEN 1 "
+            f"ELSE coalesce(try_element_at({named}, _p.name), {_mask(SHORTHAND['maj'])}) END")
+    rel = f"((({base}) | {_degree_mask('_p.degrees', False)}) & ~{_degree_mask('_p.degrees', True)})"
+    tones = _let(tail, "_t", _let(parsed, "_p", rel))
+    body = _let(f"named_struct('root', {_note_pc(label)}, 'rel', {tones})", "_c", _mask_struct("_c.root", "_c.rel"))
+    return F.expr(f"CASE WHEN NOT {_silent(label)} AND {label} RLIKE '^[A-G]' THEN {body} END")
 
 
-def key_info(key: Column) -> Column:
-    """``struct<label, tonic, minor, scale>`` of ``C``, ``Dm``, ``C:major`` or ``E:minor``.
+def key_info(key: str) -> Column:
+    """``struct<label, tonic, minor, scale, scale_mask>`` of ``C``, ``Dm``, ``C:major`` ....
 
     ``scale`` is the tonic of the major scale with the same notes: minor keys use their
     relative major. Null for no key.
     """
-    parsed = F.struct(key.alias("label"), note_pc(key).alias("tonic"), key_is_minor(key).alias("minor"))
-    return let(parsed, lambda p: F.when(p["tonic"].isNotNull() & ~is_silent(key), F.struct(
-        p["label"].alias("label"), p["tonic"].alias("tonic"), p["minor"].alias("minor"),
-        F.pmod(p["tonic"] + F.when(p["minor"], 3).otherwise(0), F.lit(12)).cast("int").alias("scale"))))
+    rest = f"lower(regexp_extract({key}, '^[A-G][b#]*:?(.*)$', 1))"
+    minor = f"({rest} = 'm' OR startswith({rest}, 'min') OR startswith({rest}, 'aeolian'))"
+    scale = "pmod(_k.tonic + CASE WHEN _k.minor THEN 3 ELSE 0 END, 12)"
+    body = _let(f"named_struct('tonic', {_note_pc(key)}, 'minor', {minor})", "_k",
+                f"named_struct('label', {key}, 'tonic', _k.tonic, 'minor', _k.minor, 'scale', {scale}, "
+                f"'scale_mask', {_rotate(MAJOR_MASK, scale)})")
+    return F.expr(f"CASE WHEN NOT {_silent(key)} AND {key} RLIKE '^[A-G]' THEN {body} END")
 
 
-def tonic_chord(key: Column) -> Column:
-    """The tonic triad of a ``key_info`` as a chord label; no key gives no chord."""
-    root = F.regexp_extract(key["label"], r"^([A-G][b#]*)", 1)
-    return F.when(key.isNull(), F.lit("N")).otherwise(
-        F.concat(root, F.when(key["minor"], F.lit(":min")).otherwise(F.lit(":maj"))))
+def tonic_chord(key: str) -> Column:
+    """The tonic triad of a ``key_info`` column as a chord label; no key gives no chord."""
+    return F.expr(f"CASE WHEN {key} IS NULL THEN 'N' ELSE concat(regexp_extract({key}.label, '^([A-G][b#]*)', 1), "
+                  f"CASE WHEN {key}.minor THEN ':min' ELSE ':maj' END) END")
 
 
-def tonic_masks(key: Column) -> Column:
+def tonic_masks(key: str) -> Column:
     """The masks of ``tonic_chord`` without parsing a label."""
-    rel = F.when(key["minor"], F.lit(_mask(SHORTHAND["min"]))).otherwise(F.lit(_mask(SHORTHAND["maj"])))
-    return F.when(key.isNotNull(), mask_struct(key["tonic"], rel))
-
-
-def _fifths(a: Column, b: Column) -> Column:
-    steps = F.pmod((a - b) * 7, F.lit(12))
-    return F.least(steps, F.lit(12) - steps)
-
-
-def _new_notes(y: Column, x: Column) -> Column:
-    return F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    rel = f"CASE WHEN {key}.minor THEN {_mask(SHORTHAND['min'])} ELSE {_mask(SHORTHAND['maj'])} END"
+    return F.expr(f"CASE WHEN {key} IS NOT NULL THEN {_mask_struct(f'{key}.tonic', f'({rel})')} END")
 
 
-def tps_distance(y: Column, ky: Column, x: Column, kx: Column) -> Column:
-    """Distance of chord ``y`` in key ``ky`` from ``x`` in ``kx``, on masks and key structs.
+def tps_distance(y: str, ky: str, x: str, kx: str) -> Column:
+    """Distance of chord ``y`` in key ``ky`` from ``x`` in ``kx``: mask and key columns.
 
     Two silent chords are at 0, a silent and a sounding one at 13. If exactly one key is
     missing, the distance is 13; if both are, the key terms are 0.
     """
-    interval = F.pmod(y["root"] - x["root"], F.lit(12))
-    j = F.get(F.array(*[F.lit(s) for s in ROOT_STEPS]), interval)
-    chord_level = (_new_notes(y["root_mask"], x["root_mask"])
-                   + _new_notes(y["fifth_mask"], x["fifth_mask"])
-                   + _new_notes(y["chord_mask"], x["chord_mask"]))
-    key_terms = F.when(ky.isNull(), F.lit(0)).otherwise(
-        _fifths(ky["scale"], kx["scale"])
-        + _new_notes(rotate(F.lit(MAJOR_MASK), ky["scale"]), rotate(F.lit(MAJOR_MASK), kx["scale"])))
-    return (F.when(y.isNull() & x.isNull(), F.lit(0))
-            .when(y.isNull() | x.isNull(), F.lit(SILENCE_DISTANCE))
-            .when(ky.isNull() != kx.isNull(), F.lit(SILENCE_DISTANCE))
-            .otherwise(j + chord_level + key_terms).cast("int"))
+    new = " + ".join(f"bit_count({y}.{m} & ~{x}.{m})" for m in ("root_mask", "fifth_mask", "chord_mask"))
+    steps = f"get({_array(ROOT_STEPS)}, pmod({y}.root - {x}.root, 12))"
+    fifths = f"pmod(({ky}.scale - {kx}.scale) * 7, 12)"
+    keys = f"least({fifths}, 12 - {fifths}) + bit_count({ky}.scale_mask & ~{kx}.scale_mask)"
+    return F.expr(f"""cast(CASE
+        WHEN {y} IS NULL AND {x} IS NULL THEN 0
+        WHEN {y} IS NULL OR {x} IS NULL OR ({ky} IS NULL) <> ({kx} IS NULL) THEN {SILENCE_DISTANCE}
+        ELSE {steps} + {new} + CASE WHEN {ky} IS NULL THEN 0 ELSE {keys} END END AS int)""")
 
 
 def vocabulary(labels: DataFrame, label: str, parse, name: str) -> DataFrame:
     """The distinct values of a label column, each parsed once."""
-    return labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn(
-        name, parse(F.col(label)))
+    return labels.select(label).filter(F.col(label).isNotNull()).distinct().withColumn(name, parse(label))
 
 
-def chord_pitches(m: Column, octave_base: int = 60) -> Column:
-    """MIDI pitches of chord masks, ascending from the root in the octave of ``octave_base``."""
-    steps = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda s: F.call_function(
-        "shiftright", m["chord_mask"], F.pmod(m["root"] + s, F.lit(12))).bitwiseAND(F.lit(1)) == 1)
-    return F.when(m.isNotNull(), F.transform(steps, lambda s: (F.lit(octave_base) + m["root"] + s)))
+def chord_pitches(masks: str, octave_base: int = 60) -> Column:
+    """MIDI pitches of a chord-mask column, ascending from the root in the octave of ``octave_base``."""
+    return F.expr(f"""CASE WHEN {masks} IS NOT NULL THEN transform(
+        filter(sequence(0, 11), _s -> shiftright({masks}.chord_mask, pmod({masks}.root + _s, 12)) & 1 = 1),
+        _s -> {octave_base} + {masks}.root + _s) END""")

@@ -12,7 +12,7 @@ VELOCITY = 80
 
 def notes(events: DataFrame, track: str, program: int = 0) -> DataFrame:
     """One row per chord tone over ``[t0, t1)``; silent chords give none."""
-    return (events.select(track, "pos", F.explode(chord_pitches(F.col("cm"))).alias("pitch"), "t0", "t1")
+    return (events.select(track, "pos", F.explode(chord_pitches("cm")).alias("pitch"), "t0", "t1")
             .select(track, "pos", "pitch", F.lit(VELOCITY).alias("velocity"),
                     F.lit(program).alias("program"), "t0", "t1"))
 

@@ -31,11 +31,9 @@ def align_keys(seq: Ordered) -> Ordered:
     """
     seq = running(seq, {"_key": ("last", "ka")})
     seq = per_key(seq, {"gk": first_non_null("ka")})
-    return seq.with_df(seq.df
-                       .withColumn("km", F.coalesce("_key", "gk"))
-                       .withColumn("key", F.coalesce("_key.label", "gk.label", F.lit("N")))
-                       .withColumn("global_key", F.coalesce("gk.label", F.lit("N")))
-                       .drop("_key", "ka"))
+    return seq.with_df(seq.df.withColumns({
+        "km": F.expr("coalesce(_key, gk)"), "key": F.expr("coalesce(_key.label, gk.label, 'N')"),
+        "global_key": F.expr("coalesce(gk.label, 'N')")}).drop("_key", "ka"))
 
 
 def with_references(seq: Ordered) -> Ordered:
@@ -44,26 +42,22 @@ def with_references(seq: Ordered) -> Ordered:
     ``offset`` compares with the previous event, the first one with the tonic of its key;
     ``profile`` compares with the tonic of the global key.
     """
-    seq = seq.with_df(seq.df
-                      .withColumn("tonic", tonic_chord(F.col("gk")))
-                      .withColumn("tm", tonic_masks(F.col("gk")))
-                      .withColumn("_here", F.struct("chord", "cm", "key", "km")))
+    seq = seq.with_df(seq.df.withColumns({
+        "tonic": tonic_chord("gk"), "tm": tonic_masks("gk"), "_here": F.struct("chord", "cm", "key", "km")}))
     seq = shifted(seq, {"_prev": ("_here", 1)})
-    first = F.col("pos") == 0
-    return seq.with_df(seq.df
-                       .withColumn("prev_chord", F.when(first, F.col("tonic")).otherwise(F.col("_prev.chord")))
-                       .withColumn("prev_key", F.when(first, F.col("global_key")).otherwise(F.col("_prev.key")))
-                       .withColumn("pm", F.when(first, F.col("tm")).otherwise(F.col("_prev.cm")))
-                       .withColumn("pk", F.when(first, F.col("gk")).otherwise(F.col("_prev.km")))
-                       .drop("_prev", "_here"))
+    return seq.with_df(seq.df.withColumns({
+        "prev_chord": F.expr("CASE WHEN pos = 0 THEN tonic ELSE _prev.chord END"),
+        "prev_key": F.expr("CASE WHEN pos = 0 THEN global_key ELSE _prev.key END"),
+        "pm": F.expr("CASE WHEN pos = 0 THEN tm ELSE _prev.cm END"),
+        "pk": F.expr("CASE WHEN pos = 0 THEN gk ELSE _prev.km END")}).drop("_prev", "_here"))
 
 
 def offset_value() -> Column:
-    return tps_distance(F.col("cm"), F.col("km"), F.col("pm"), F.col("pk"))
+    return tps_distance("cm", "km", "pm", "pk")
 
 
 def profile_value() -> Column:
-    return tps_distance(F.col("cm"), F.col("km"), F.col("tm"), F.col("gk"))
+    return tps_distance("cm", "km", "tm", "gk")
 
 
 def series_value(kind: str) -> Column:

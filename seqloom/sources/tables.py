@@ -21,23 +21,22 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def _note(n: Column) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in NOTE_NAMES]), F.pmod(n, F.lit(12)).cast("int"))
+def _note(n: str) -> str:
+    names = ", ".join(f"'{x}'" for x in NOTE_NAMES)
+    return f"get(array({names}), cast(pmod({n}, 12) AS int))"
 
 
 def chord_label() -> Column:
     """Root from the value, quality from the type; ``error`` events are silence."""
-    quality = F.lit(None)
-    for name, q in QUALITY.items():
-        quality = F.when(F.col("event_type") == name, F.lit(q)).otherwise(quality)
-    return F.coalesce(F.concat(_note(F.floor("value")), F.lit(":"), quality), F.lit("N"))
+    quality = " ".join(f"WHEN '{name}' THEN ':{q}'" for name, q in QUALITY.items())
+    return F.expr(f"coalesce(concat({_note('floor(value)')}, CASE event_type {quality} END), 'N')")
 
 
 def key_annotation() -> Column:
     """A ``signup`` event sets the key, from the number in its properties."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    mode = F.when(k % 2 == 0, F.lit(":major")).otherwise(F.lit(":minor"))
-    return F.when(F.col("event_type") == "signup", F.concat(_note(k), mode))
+    k = "cast(get_json_object(props, '$.k') AS int)"
+    mode = f"CASE WHEN {k} % 2 = 0 THEN ':major' ELSE ':minor' END"
+    return F.expr(f"CASE WHEN event_type = 'signup' THEN concat({_note(k)}, {mode}) END")
 
 
 def event_sequence(spark: SparkSession, sf_dir: str, *extra: str) -> Ordered:

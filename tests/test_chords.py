@@ -1,14 +1,12 @@
-from pyspark.sql import functions as F
-
 from seqloom.functions import chords as C
 
 
 def distances(spark, rows):
     """Distances of (chord, key, reference chord, reference key) labels."""
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, ka string, b string, kb string")
-    m = df.select("i", C.chord_masks(F.col("a")).alias("y"), C.key_info(F.col("ka")).alias("ky"),
-                  C.chord_masks(F.col("b")).alias("x"), C.key_info(F.col("kb")).alias("kx"))
-    d = m.select("i", C.tps_distance(F.col("y"), F.col("ky"), F.col("x"), F.col("kx")).alias("d"))
+    m = df.select("i", C.chord_masks("a").alias("y"), C.key_info("ka").alias("ky"),
+                  C.chord_masks("b").alias("x"), C.key_info("kb").alias("kx"))
+    d = m.select("i", C.tps_distance("y", "ky", "x", "kx").alias("d"))
     return [r.d for r in d.orderBy("i").collect()]
 
 
@@ -33,7 +31,7 @@ def test_transposition_keeps_the_distance(spark):
 
 def masks(spark, *labels):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, l string")
-    return [r.m for r in df.select("i", C.chord_masks(F.col("l")).alias("m")).orderBy("i").collect()]
+    return [r.m for r in df.select("i", C.chord_masks("l").alias("m")).orderBy("i").collect()]
 
 
 def tones(m):
@@ -49,12 +47,12 @@ def test_labels(spark):
 
 def test_keys(spark):
     df = spark.createDataFrame([(i, k) for i, k in enumerate(["C", "Dm", "C:major", "E:minor", "N", "F#:minor"])], "i int, k string")
-    rows = df.select("i", C.key_info(F.col("k")).alias("x")).withColumn("t", C.tonic_chord(F.col("x"))).orderBy("i").collect()
+    rows = df.select("i", C.key_info("k").alias("x")).withColumn("t", C.tonic_chord("x")).orderBy("i").collect()
     assert [r.x and (r.x.tonic, r.x.minor, r.x.scale) for r in rows] == [
         (0, False, 0), (2, True, 5), (0, False, 0), (4, True, 7), None, (6, True, 9)]
     assert [r.t for r in rows] == ["C:maj", "D:min", "C:maj", "E:min", "N", "F#:min"]
 
 
 def test_pitches(spark):
-    df = spark.createDataFrame([("A:min",)], "l string").select(C.chord_pitches(C.chord_masks(F.col("l"))).alias("p"))
+    df = spark.createDataFrame([("A:min",)], "l string").select(C.chord_masks("l").alias("m")).select(C.chord_pitches("m").alias("p"))
     assert df.first().p == [69, 72, 76]
