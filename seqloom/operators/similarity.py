@@ -260,11 +260,20 @@ def pair_distances(pairs: DataFrame, metric: str, constraint: str | None = None,
 def find_similar(query: Column, dataset: DataFrame, k: int, threshold: float) -> DataFrame:
     """The ``k`` nearest rows of ``dataset(id, ts)`` to one given series, then the threshold.
 
-    One scan: the query is a constant, the ranking is a top-k without a full sort.
+    Euclidean metric on series of one length. One scan: the query is a constant, the ranking is
+    a top-k without a full sort.
     """
-    n = F.size("ts")
     dist = F.sqrt(F.aggregate(F.zip_with("ts", query, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
                               lambda s, d: s + d))
-    top = (dataset.filter(n > 0).select("id", F.round(dist, 6).alias("distance"))
+    top = (dataset.select("id", F.round(dist, 6).alias("distance"))
            .orderBy("distance", "id").limit(k))
     return top.filter(F.col("distance") <= threshold)
+
+
+def find_similar_fromidx(idx, dataset: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The same for a member of the dataset: it counts among the ``k`` and is then left out."""
+    row = dataset.filter(F.col("id") == F.lit(idx)).select("ts").first()
+    if row is None:
+        raise KeyError(idx)
+    query = F.array(*[F.lit(float(v)) for v in row.ts])
+    return find_similar(query, dataset, k, threshold).filter(F.col("id") != F.lit(idx))

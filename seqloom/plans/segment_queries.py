@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from seqloom.config import DEFAULT
 from seqloom.functions import series as S
 from seqloom.operators import segmentation as G
-from seqloom.operators.similarity import find_similar, pair_distances
+from seqloom.operators.evaluation import similarity_statistics as relation_statistics
+from seqloom.operators.graph import dense_ids
+from seqloom.operators.ordered import index_sequence, running
+from seqloom.operators.similarity import find_similar, find_similar_fromidx, pair_distances
 from seqloom.plans import pipeline as L
 from seqloom.plans import sql_parts as Q
 from seqloom.plans.sql_parts import query, recursive
 from seqloom.session import table
-from seqloom.sources.tables import TRACK
+from seqloom.sources.tables import TRACK, metadata
 
 
 def novelty_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,18 +84,16 @@ def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similarity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of relations and of pattern kinds, and mean distances."""
-    from seqloom.operators.evaluation import similarity_statistics as stats
     segs = L.stored(L.segment_frame(spark, sf_dir))
     edges = L.stored(L.edge_frame(segs))
     ids = segs.select(F.struct(TRACK, "seg_ord").alias("id"))
-    return stats(edges.select(F.struct(F.col("source_track").alias(TRACK), F.col("source_ord").alias("seg_ord")).alias("source"),
+    return relation_statistics(edges.select(F.struct(F.col("source_track").alias(TRACK), F.col("source_ord").alias("seg_ord")).alias("source"),
                               F.struct(F.col("target_track").alias(TRACK), F.col("target_ord").alias("seg_ord")).alias("target"),
                               "distance", "type"), ids)
 
 
 def pattern_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense pattern index of every segment, in (track, ordinal) order."""
-    from seqloom.operators.graph import dense_ids
     s = L.stored(L.segment_frame(spark, sf_dir).select(TRACK, "seg_ord"))
     return dense_ids(s, (TRACK, "seg_ord"), "pattern_id")
 
@@ -121,8 +122,6 @@ def progression_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Onsets are rebased by the running duration of the segments before.
     """
-    from seqloom.operators.ordered import index_sequence, running
-    from seqloom.sources.tables import metadata
     first = (L.segment_frame(spark, sf_dir).filter(F.col("seg_ord") == 0)
              .select(TRACK, F.size("ts").cast("long").alias("n_ticks")))
     parts = first.join(metadata(spark, sf_dir), TRACK).select("artist", TRACK, "n_ticks")
@@ -130,13 +129,21 @@ def progression_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.df.select("artist", "pos", TRACK, (F.col("t_end") - F.col("n_ticks")).alias("t_start"), "t_end")
 
 
-def find_similar_fromidx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest embeddings of one given series (the all-mean one) under a threshold."""
-    e = table(spark, sf_dir, "embeddings").select(
+def embedding_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
         F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("ts"))
-    flat = F.array_repeat(F.lit(0.0), F.size("ts"))
-    return find_similar(flat, e, DEFAULT.num_searches, DEFAULT.dist_threshold)
+
+
+def find_similar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest embeddings to a given series, here the zero one."""
+    e = embedding_series(spark, sf_dir)
+    return find_similar(F.array_repeat(F.lit(0.0), F.size("ts")), e, DEFAULT.num_searches, DEFAULT.dist_threshold)
+
+
+def find_similar_to_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest embeddings to one of them."""
+    return find_similar_fromidx(0, embedding_series(spark, sf_dir), DEFAULT.num_searches, DEFAULT.dist_threshold)
 
 
 QUERIES = {
@@ -160,7 +167,8 @@ QUERIES = {
     "ctw_next": _next_distance("ctw"),
     "min_area_next": min_area_next,
     "progression_concat": progression_concat,
-    "find_similar": find_similar_fromidx,
+    "find_similar": find_similar_series,
+    "find_similar_fromidx": find_similar_to_member,
 }
 
 
@@ -299,4 +307,10 @@ SQL = {
                      round(CAST(x AS DOUBLE), 6) * round(CAST(x AS DOUBLE), 6)))), 6) AS distance FROM embeddings),
         top AS (SELECT * FROM d ORDER BY distance, id LIMIT 10)
         SELECT id, distance FROM top WHERE distance <= 2.0""",
+    "find_similar_fromidx": """
+        WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS ts FROM embeddings),
+        q AS (SELECT ts AS q FROM e WHERE id = 0),
+        d AS (SELECT id, round(list_distance(ts, q), 6) AS distance FROM e, q),
+        top AS (SELECT * FROM d ORDER BY distance, id LIMIT 10)
+        SELECT id, distance FROM top WHERE distance <= 2.0 AND id <> 0""",
 }
