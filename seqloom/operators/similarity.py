@@ -216,8 +216,10 @@ def similarity_edges(segments: DataFrame, cfg: Config = DEFAULT,
                      radii: tuple[float, ...] | None = None) -> DataFrame:
     """``source, target, distance, type`` from ``segments(id, ts)``; ids are any sortable type."""
     k = cfg.num_searches
+    # the searchable data set: read by every branch below, so it is stored once
+    ensure_checkpoint_dir(segments.sparkSession)
     rows = (segments.select("id", resample(F.col("ts"), cfg.resampling_size).alias("tx"))
-            .withColumn("class", run_collapse(F.col("tx"))))
+            .withColumn("class", run_collapse(F.col("tx"))).checkpoint())
     classes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("source"),
                                         F.max_by("tx", "id").alias("sx"))
     targets = lowest_ids(rows, "tx", k, "class")

@@ -79,7 +79,7 @@ def structure_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.edge_frame(L.stored(L.segment_frame(spark, sf_dir)))
+    return L.edge_frame(L.segment_frame(spark, sf_dir))
 
 
 def similarity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
