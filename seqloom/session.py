@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def get_spark(app: str = "seqloom", cores: str | int = "*", shuffle_partitions: int = 8,
               driver_memory: str = "16g") -> SparkSession:
     """A local session with the settings the test-suite and the bench use."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,6 +25,8 @@ def get_spark(app: str = "seqloom", cores: str | int = "*", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 _SHIPPED: set[str] = set()

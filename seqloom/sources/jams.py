@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.ordered import Ordered, index_sequence
 from seqloom.operators.projection import align_keys, attach_vocabulary, with_references
+from seqloom.session import ship_package
 
 OBSERVATION = "struct<time:double,duration:double,value:string,confidence:double>"
 SCHEMA = (
@@ -25,6 +26,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     The track is the file name without its extension. ``artist`` may be a string or a list.
     Unreadable files keep a row with ``_corrupt_record``.
     """
+    ship_package(spark)
     raw = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     artist = F.col("file_metadata.artist")
     return raw.select(
