@@ -66,12 +66,21 @@ def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
         windows += 1
 
 
-def pack(docs: DataFrame, capacity: int = 2048, piece: int = 256, group: int = 1 << 18,
+def uneven(size: int, pieces: int, share: float = 0.75, least: int = 64) -> list[int]:
+    """Cut into at most ``pieces`` pieces, each ``share`` of what is left: small ones even out the sums."""
+    out = []
+    while len(out) < pieces - 1 and size >= least:
+        out.append(int(size * share))
+        size -= out[-1]
+    return [*out, size]
+
+
+def pack(docs: DataFrame, capacity: int = 2048, pieces: int = 3, group: int = 1 << 18,
          tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` ids.
 
-    Runs of ``capacity`` ids are windows of their own. What is left of a document is cut into equal pieces
-    of at most ``piece`` ids; whenever a task holds ``group`` ids of such pieces, they are dealt out by
+    Runs of ``capacity`` ids are windows of their own. What is left of a document is cut into at most
+    ``pieces`` pieces (`uneven`); whenever a task holds ``group`` ids of them, they are dealt out by
     `near_equal`. A task packs what it reads, so nothing is shuffled, memory is bounded by ``group``, and a
     lost task is done again alone.
 
@@ -120,10 +129,10 @@ def pack(docs: DataFrame, capacity: int = 2048, piece: int = 256, group: int = 1
                 rest = n - full
                 if not rest:
                     continue
-                k = -(-rest // piece)
-                marks = [full + rest * i // k for i in range(k + 1)]
-                for i, j in zip(marks, marks[1:]):
-                    held.append((doc, i, j - i, data[4 * i: 4 * j], n))
+                at = full
+                for size in uneven(rest, pieces):
+                    held.append((doc, at, size, data[4 * at: 4 * (at + size)], n))
+                    at += size
                 total += rest
                 if total >= group:
                     rows += settle(held)
