@@ -4,10 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+
+import numpy as np
 
 #: Space between two characters that are not white space: no pre-token ever spans it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
+_DOUBLE = re.compile(r"\s\s")
+_OTHER_ASCII = ("\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def _near_other_space(text: str) -> bool:
+    """Whether a space may stand next to other white space."""
+    if text.isascii():
+        return any(x in text for x in _OTHER_ASCII)
+    return _DOUBLE.search(text) is not None
 
 
 def default_tokenizer() -> str:
@@ -30,35 +41,64 @@ class TextEncoder:
     unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], pieces: list[str], prefix: str) -> None:
-        import numpy as np
-
+        if prefix and pieces:
+            pieces = self._learn_joined(known, pieces)
         found = self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)
         for p, e in zip(pieces, found):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
+            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def _learn_joined(self, known: dict[str, bytes], pieces: list[str]) -> list[str]:
+        """Encode words as one text, where ids that begin with a space open the next; returns the rest."""
+        plain, rest = [], []
+        for p in pieces:
+            (plain if p and p.isprintable() and " " not in p and "<|" not in p else rest).append(p)
+        for lo in range(0, len(plain), 4096):
+            some = plain[lo: lo + 4096]
+            ids = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype="<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some):  # another kind of tokenizer
+                return pieces
+            data, at = ids.tobytes(), (at * 4).tolist()
+            known.update(zip(some, (data[i:j] for i, j in zip(at, [*at[1:], len(data)]))))
+        return rest
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
         """The ids of each text, null counting as empty, followed by ``end``."""
+        out: list[bytes] = []
+        some: list[str] = []
+        held = 0
+        for text in texts:  # pieces of about a million characters at a time
+            some.append(text or "")
+            held += len(some[-1])
+            if held >= 1 << 20:
+                out += self._encode(some, end)
+                some, held = [], 0
+        return out + self._encode(some, end)
+
+    def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.spaced) > self.limit:
             self.spaced.clear()
         if len(self.plain) > self.limit:
             self.plain.clear()
         cut, first, later = [], set(), set()
         for text in texts:
-            text = text or ""
-            if _DOUBLE.search(text):
+            parts = text.split(" ")
+            if "" in parts or _near_other_space(text):
                 pieces = _CUT.split(text)
                 parts = [pieces[0], *[p[1:] for p in pieces[1:]]]
-            else:
-                parts = text.split(" ")
             cut.append(parts)
             first.add(parts[0])
             later.update(parts[1:])
