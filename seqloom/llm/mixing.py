@@ -59,18 +59,20 @@ def _permuted(k: Column, n: Column, seed: Column) -> Column:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,
-        share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """Returns the documents with the targets of their sources, and what the mix takes of them.
+        share: float = SHARE, most: float = MOST, identity: tuple[str, ...] = ("doc_id", "text")
+        ) -> tuple[DataFrame, DataFrame]:
+    """Mix ``docs`` (doc_id, source, text). Returns the documents with the targets of their sources, and what the mix takes of them.
 
-    The first has row_no, cell, source, doc_id, text, size, source_size, target; the second source, cell,
-    row_no, doc_start and length (a run of words of the document), round (0 or 1), out_shard and slot.
+    The first has source, cell, row_no, doc_id, row_hash (of the ``identity`` columns), size, source_size and
+    target; the second source, cell, row_no, doc_start and length (a run of words of the document), round
+    (0 or 1), out_shard and slot.
 
     A null text has no words and is never taken; a null source is a source of its own, the last; sizes of
     zero get a target of zero; repeated rows are documents of their own; other columns are ignored.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"),
-                       F.xxhash64("doc_id", "text").alias("row_hash"))
+                       F.xxhash64(*identity).alias("row_hash"))
     base = stored(slim.select("doc_id", "source", "size", "row_hash"), "sizes")
     rows = base.count()
     cells = max(1, rows // 10_000)
@@ -111,7 +113,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 42, weights: tuple[int,
     return held, taken
 
 
-def _same(left: DataFrame, right: DataFrame) -> list[Column]:
+def same_row(left: DataFrame, right: DataFrame) -> list[Column]:
     return [left["source"].eqNullSafe(right["source"]), left["cell"] == right["cell"],
             left["row_no"] == right["row_no"]]
 
@@ -120,5 +122,5 @@ def op9_mix_blocks(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """What the mix takes of every document: doc_id, size, source_size, target, taken."""
     held, taken = mix(docs)
     sums = taken.groupBy("source", "cell", "row_no").agg(F.sum("length").alias("taken"))
-    return held.join(sums, _same(held, sums), "left").select(
+    return held.join(sums, same_row(held, sums), "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from seqloom.llm import bm25
 from seqloom.llm.ann import op5_learned_partitions
 from seqloom.llm.html_text import op10_html_ratio
+from seqloom.llm.lm import op7_elias_fano_ngrams
 from seqloom.llm.mixing import op9_mix_blocks
 from seqloom.llm.packing import op6_pack_differencing
 from seqloom.llm.quality import op8_quality_neighbours
@@ -21,12 +23,15 @@ def _over(name, operator):
 QUERIES = {
     "op1_token_huffman": _over("documents", op1_token_huffman),
     "op2_simhash_segments": _over("documents", op2_simhash_segments),
+    "op3_bm25_block_max": lambda spark, sf_dir: bm25.op3_bm25_block_max(
+        spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op4_shard_propagation": _over("documents", op4_shard_propagation),
     "op5_learned_partitions": _over("embeddings", op5_learned_partitions),
     "op6_pack_differencing": _over("documents", op6_pack_differencing),
+    "op7_elias_fano_ngrams": _over("documents", op7_elias_fano_ngrams),
     "op8_quality_neighbours": lambda spark, sf_dir: op8_quality_neighbours(
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_mix_blocks": _over("documents", op9_mix_blocks),
     "op10_html_ratio": _over("pages", op10_html_ratio),
 }
-SQL: dict[str, str] = {}
+SQL = {"op3_bm25_block_max": bm25.SQL}
