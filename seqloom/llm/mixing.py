@@ -75,7 +75,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 42, weights: tuple[int,
                        F.xxhash64(*identity).alias("row_hash"))
     base = stored(slim.select("doc_id", "source", "size", "row_hash"), "sizes")
     rows = base.count()
-    cells = max(1, rows // 10_000)
+    cells = max(1, rows // 2_000)
     base = base.withColumn("cell", F.pmod("row_hash", F.lit(cells)).cast("int"))
     order = [F.col("row_hash"), F.col("doc_id"), F.col("size")]
     placed = running(base, ["source"], ["cell"], order, F.col("size"), "begin")
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 42, weights: tuple[int,
               .select("source", "cell", "row_no", "begin", "block", "lo", "hi"))
     keys = [F.col("p.source").eqNullSafe(F.col("s.source")), F.col("p.block") == F.col("s.block")]
     end = F.expr(f"least(hi, p.block * {block} + take)")
-    taken = (pieces.alias("p").join(slots.alias("s"), keys)
+    taken = (pieces.alias("p").join(slots.hint("merge").alias("s"), keys)  # slots come from few rows, but are many
              .select("p.source", "cell", "row_no", (F.col("lo") - F.col("begin")).alias("doc_start"),
                      (end - F.col("lo")).alias("length"), "round", "out_shard", "slot")
              .where("length > 0"))
