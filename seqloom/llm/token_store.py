@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import flat_binary, partitions, scratch_path
@@ -208,8 +208,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
      .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of a store: doc_id, start (ids before it), ids (little-endian unsigned 32-bit integers)."""
+def read_store(spark: SparkSession, path: str, *columns: Column) -> DataFrame:
+    """The documents of a store: doc_id, start (ids before it), n_tokens and ``columns`` derived from ``ids``.
+
+    ``ids`` are little-endian unsigned 32-bit integers, and are returned if no columns are given.
+    """
+    columns = columns or (F.col("ids"),)
     book = spark.read.parquet(f"{path}/codebook").toPandas()  # bounded by the vocabulary
     table = spark.sparkContext.broadcast((book["token_id"].to_numpy(), book["length"].to_numpy()))
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -230,7 +234,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                     names=["shard", "block", "inside", "doc_id", "n_tokens", "ids"])
 
     found = (blocks.select("shard", "block", "doc_ids", "doc_n_ids", "payload", "checkpoints")
-             .mapInArrow(decode, f"shard int, block long, inside long, doc_id {kind_of_id}, n_tokens long, ids binary"))
+             .mapInArrow(decode, f"shard int, block long, inside long, doc_id {kind_of_id}, n_tokens long, ids binary")
+             .select("shard", "block", "inside", "doc_id", "n_tokens", *columns))
     heads = blocks.select("shard", "block", "n_ids")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     shards = (heads.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
@@ -242,16 +247,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                .join(shards, "shard"))
     return (found.join(offsets, ["shard", "block"])
             .select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("inside")).alias("start"),
-                    "n_tokens", "ids"))
-
-
-def with_crc(docs: DataFrame, *keep: str) -> DataFrame:
-    """Replace the column ``ids`` of bytes by their unsigned CRC-32."""
-    return docs.select(*keep, F.crc32("ids").alias("ids_crc32"))
+                    *[c for c in found.columns if c not in ("shard", "block", "inside", "doc_id")]))
 
 
 def op1_token_huffman(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write all documents as a store, read it back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch_path(spark, "token-store")
     write_store(docs, path)
-    return with_crc(read_store(spark, path), "doc_id", "start", "n_tokens")
+    return read_store(spark, path, F.crc32("ids").alias("ids_crc32"))
