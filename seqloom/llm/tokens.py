@@ -41,7 +41,7 @@ class TextEncoder:
     unsigned 32-bit integers.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,15 +49,23 @@ class TextEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.marks = {m: np.array(e.ids, dtype="<u4").tobytes()
+                      for m, e in zip(",.", self.tokenizer.encode_batch([",", "."], add_special_tokens=False))}
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], pieces: list[str], prefix: str) -> None:
+        marked: list[str] = []
         if prefix and pieces:
-            pieces = self._learn_joined(known, pieces)
+            # a mark after letters is a pre-token of its own
+            marked = [p for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()]
+            stems = {p[:-1] for p in marked}.difference(known)
+            pieces = self._learn_joined(known, list(stems.union(pieces).difference(marked)))
         found = self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)
         for p, e in zip(pieces, found):
             known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
 
     def _learn_joined(self, known: dict[str, bytes], pieces: list[str]) -> list[str]:
         """Encode words as one text, where ids that begin with a space open the next; returns the rest."""
