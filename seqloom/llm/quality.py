@@ -7,8 +7,8 @@ frequencies and a truncated singular value decomposition of the labelled rows gi
 labelled vectors are broadcast: no more than ``MOST_LABELLED`` rows of ``DIMS`` numbers. Every document is
 compared with all of them, in blocks; its ``NEIGHBOURS`` most similar ones vote with their similarity.
 
-At most ``MOST_LABELLED`` labelled rows are learned from, those with the smallest hash of their text and
-doc_id; all documents are scored by their whole texts.
+At most ``MOST_LABELLED`` labels are learned from, those with the smallest hash of their doc_id; all
+documents are scored by their whole texts.
 """
 
 from __future__ import annotations
@@ -105,14 +105,14 @@ class Space:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Space:
-    """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id, quality)."""
-    rows = (docs.select("doc_id", "text").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
-            .where("label IS NOT NULL")
-            .select("text", F.col("label").cast("float"), F.xxhash64("doc_id", "text").alias("h"), "doc_id"))
-    picked = rows.select("h", "doc_id").orderBy("h", "doc_id").limit(most)
-    edge = picked.agg(F.max("h")).first()[0]
-    if edge is None:
-        return Space(np.zeros((0, TERMS), dtype=np.float32), np.zeros(0))
+    """Learn from ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) names.
+
+    Of the labels with an id and a value, the ``most`` with the smallest hash of the id are used.
+    """
+    picked = (labels.select(F.col("doc_id"), F.col("quality").cast("float").alias("label"))
+              .where("doc_id IS NOT NULL AND label IS NOT NULL")
+              .select("doc_id", "label", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "label").limit(most))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # no more than `most` ids
 
     def run(batches):
         for b in batches:
@@ -121,8 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Space:
                     [pa.array([terms(t.as_py()).tobytes()]), pa.array([y], pa.float32()), pa.array([h])],
                     names=["row", "label", "h"])
 
-    got = (rows.where(F.col("h") <= edge).select("text", "label", "h")
-           .mapInArrow(run, "row binary, label float, h long").toPandas().sort_values("h", kind="stable").head(most))
+    got = rows.select("text", "label", "h").mapInArrow(run, "row binary, label float, h long").toPandas()
+    got = got.sort_values(["h", "label", "row"], kind="stable")
     return Space(np.frombuffer(b"".join(got["row"]), dtype=np.float32).reshape(-1, TERMS), got["label"].to_numpy())
 
 
@@ -155,6 +155,6 @@ def op8_quality_neighbours(spark: SparkSession, docs: DataFrame, labels: DataFra
     only scored; other columns are ignored; without any label the score is 0.5.
     """
     slim = docs.select("doc_id", "text")
-    space = fit(slim.where(~held_out(F.col("doc_id"))), labels.select("doc_id", "quality"))
+    space = fit(slim, labels.select("doc_id", "quality").where(~held_out(F.col("doc_id"))))
     return score(slim, space).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
                                      (F.col("_score") >= 0.5).cast("int").alias("predicted"))
