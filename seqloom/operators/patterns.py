@@ -21,6 +21,11 @@ def _strip(line: Column) -> Column:
     return F.regexp_replace(F.trim(line), r"^\(+|\)+$", "")
 
 
+def _rest(x: Column) -> Column:
+    """All elements but the first."""
+    return F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))
+
+
 def parse_grammar(blocks: DataFrame, text: str = "value") -> DataFrame:
     """Bricks from blank-line separated blocks, one block per row.
 
@@ -30,7 +35,7 @@ def parse_grammar(blocks: DataFrame, text: str = "value") -> DataFrame:
     """
     lines = F.filter(F.transform(F.split(F.trim(text), "\n"), _strip), lambda x: x != "")
     b = (blocks.select(lines.alias("lines")).filter(F.get("lines", F.lit(0)).startswith("defbrick")))
-    head = F.slice(F.split(F.get("lines", F.lit(0)), " +"), 2, 10_000)
+    head = _rest(F.split(F.get("lines", F.lit(0)), " +"))
     b = b.withColumn("h", head).withColumn("label", F.array_join(F.slice("h", 1, F.greatest(F.size("h") - 3, F.lit(0))), ""))
 
     def component(line: Column) -> Column:
@@ -49,23 +54,23 @@ def parse_grammar(blocks: DataFrame, text: str = "value") -> DataFrame:
         F.when(variant != "", variant).alias("variant"),
         F.element_at("h", -3).alias("mode"), F.element_at("h", -2).alias("block_type"),
         F.element_at("h", -1).alias("block_key"),
-        F.transform(F.slice("lines", 2, 10_000), component).alias("components"))
+        F.transform(_rest(F.col("lines")), component).alias("components"))
 
 
-def expand_bricks(bricks: DataFrame, max_depth: int = 16) -> DataFrame:
+def expand_bricks(bricks: DataFrame) -> DataFrame:
     """Replace every reference to a brick by the components of its variants.
 
     ``bricks(name, variant, components)``; a reference to a brick with several variants gives
     one sequence per variant. Each pass substitutes the first open reference of every sequence;
-    a reference chain deeper than ``max_depth`` is a cycle and raises, a reference to a brick
-    that does not exist gives no sequence. Rows ``(name, variant, choices, components)``.
+    every component carries the names it came from, a reference to one of them is a cycle and
+    raises, a reference to a brick that does not exist gives no sequence. Rows ``(name, variant, choices, components)``.
     """
     ensure_checkpoint_dir(bricks.sparkSession)
     variants = bricks.select(F.col("name").alias("_ref"), F.coalesce("variant", F.lit("")).alias("_variant"),
                              F.col("components").alias("_sub"))
-    depth_of = "transform(components, c -> cast(0 as int))"
+    path_of = "transform(components, c -> array(name))"
     open_rows = bricks.select("name", "variant", F.array().cast("array<string>").alias("choices"), "components",
-                              F.expr(depth_of).alias("depths"))
+                              F.expr(path_of).alias("paths"))
     done = None
     while True:
         first = "array_position(transform(components, c -> c.kind), 'brick')"
@@ -74,16 +79,17 @@ def expand_bricks(bricks: DataFrame, max_depth: int = 16) -> DataFrame:
         done = closed if done is None else done.unionByName(closed)
         rest = marked.filter(F.col("_at") > 0)
         if rest.isEmpty():
-            return done.drop("depths")
+            return done.drop("paths")
         at, n = F.col("_at"), F.size("components")
-        depth = F.get("depths", at - 1) + 1
-        checked = F.when(depth > max_depth, F.raise_error(F.lit("bricks refer to each other in a cycle"))).otherwise(depth)
+        path = F.get("paths", at - 1)
+        checked = F.when(F.array_contains(path, F.col("_ref")), F.raise_error(F.lit("bricks refer to each other in a cycle"))
+                         ).otherwise(F.array_append(path, F.col("_ref")))
         open_rows = (rest.withColumn("_ref", F.get("components", at - 1)["name"]).join(variants, "_ref")
                      .select("name", "variant", F.concat("choices", F.array(F.concat_ws("/", "_ref", "_variant"))).alias("choices"),
                              F.concat(F.slice("components", 1, at - 1), "_sub",
                                       F.slice("components", at + 1, n)).alias("components"),
-                             F.concat(F.slice("depths", 1, at - 1), F.array_repeat(checked, F.size("_sub")),
-                                      F.slice("depths", at + 1, n)).alias("depths")))
+                             F.concat(F.slice("paths", 1, at - 1), F.array_repeat(checked, F.size("_sub")),
+                                      F.slice("paths", at + 1, n)).alias("paths")))
 
 
 def known_sequences(rows: DataFrame) -> Ordered:

@@ -65,17 +65,16 @@ def resampled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment counts and durations, overall and averaged per track."""
     s = L.segment_frame(spark, sf_dir).select(TRACK, (F.col("t1") - F.col("t0")).alias("dur"))
-    # track sums carry the overall moments, so the segments are aggregated once
-    per = s.groupBy(TRACK).agg(F.count(F.lit(1)).alias("n"), F.sum("dur").alias("d"),
-                               F.sum(F.col("dur") * F.col("dur")).alias("d2"))
-    mu = F.sum("d") / F.sum("n")
-    return per.agg(
-        F.sum("n").alias("glob_num_structures"), F.round(mu, 6).alias("glob_dur_mu"),
-        F.round(F.sqrt(F.sum("d2") / F.sum("n") - mu * mu), 6).alias("glob_dur_std"),
+    over = s.agg(F.count(F.lit(1)).alias("glob_num_structures"), F.round(F.avg("dur"), 6).alias("glob_dur_mu"),
+                 F.round(F.stddev_pop("dur"), 6).alias("glob_dur_std"))
+    per = s.groupBy(TRACK).agg(F.count(F.lit(1)).alias("n"), F.sum("dur").alias("d"))
+    each = per.agg(
         F.round(F.avg("n"), 6).alias("num_structures_php_mu"),
         F.round(F.stddev_pop("n"), 6).alias("num_structures_php_std"),
         F.round(F.avg(F.col("d") / F.col("n")), 6).alias("dur_structures_php_mu"),
         F.round(F.stddev_pop(F.col("d") / F.col("n")), 6).alias("dur_structures_php_std"))
+    # both sides are global aggregates of exactly one row
+    return over.withColumn("_k", F.lit(1)).join(each.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

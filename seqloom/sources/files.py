@@ -42,8 +42,10 @@ def read_bricks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("source bigint, target bigint, distance double, type string").option(
-        "header", True).csv(path)
+    """Edges by the names in the header; further columns are left out."""
+    kinds = {"source": "bigint", "target": "bigint", "distance": "double", "type": "string"}
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:

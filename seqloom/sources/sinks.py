@@ -31,10 +31,13 @@ def write_bricks(bricks: DataFrame, path: str, mode: str = "errorifexists") -> N
 def ntriples(triples: DataFrame) -> DataFrame:
     """``(s, p, o, dtype)`` rows as N-Triples lines."""
     def uri(c):
-        return F.concat(F.lit("<"), F.regexp_replace(c, r"[ <>\"{}|^`\\]", "%20"), F.lit(">"))
+        for x in "%\t\n\r <>\"{}|^`\\":  # the sign of the escapes first; each character has its own
+            c = F.replace(c, F.lit(x), F.lit(f"%{ord(x):02X}"))
+        return F.concat(F.lit("<"), c, F.lit(">"))
 
     escaped = F.replace(F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')),
                         F.lit("\n"), F.lit("\\n"))
+    escaped = F.replace(escaped, F.lit("\r"), F.lit("\\r"))
     is_uri = (F.col("dtype") == "uri") & F.col("o").startswith("urn:")
     typed = F.concat(F.lit('"'), escaped, F.lit('"^^<http://www.w3.org/2001/XMLSchema#'),
                      F.when(F.col("dtype") == "uri", F.lit("string")).otherwise(F.col("dtype")), F.lit(">"))

@@ -42,7 +42,7 @@ def test_cycle(spark):
     loop = spark.createDataFrame([("A", None, [("brick", "B", "C", "1")]), ("B", None, [("brick", "A", "C", "1")])],
                                  f"name string, variant string, components array<{P.COMPONENT}>")
     with pytest.raises(Exception, match="cycle"):
-        P.expand_bricks(loop, 4)
+        P.expand_bricks(loop)
 
 
 def test_known_series(spark):
@@ -151,3 +151,20 @@ def test_dense_ids(spark):
 def test_notes_shift(spark):
     df = spark.createDataFrame([("a", 3, 4), ("a", 4, 6)], "track string, t0 int, t1 int")
     assert sorted((r.t0, r.t1) for r in N.shift_to_zero(df, "track").collect()) == [(0, 1), (1, 3)]
+
+
+def test_long_bricks_and_chains_are_whole(spark):
+    text = "defbrick Long major Type C\n" + "\n".join("chord C7 1" for _ in range(10_500))
+    got = P.parse_grammar(spark.createDataFrame([(text,)], "value string")).first()
+    assert got.name == "Long" and len(got.components) == 10_500
+    chain = [(f"B{i}", None, [("brick", f"B{i + 1}", "C", "1")]) for i in range(20)]
+    chain.append(("B20", None, [("chord", None, "C", "1")]))
+    bricks = spark.createDataFrame(chain, f"name string, variant string, components array<{P.COMPONENT}>")
+    found = {r.name: [c.value for c in r.components] for r in P.expand_bricks(bricks).collect()}
+    assert found == {f"B{i}": ["C"] for i in range(21)}
+
+
+def test_distinct_names_keep_distinct_iris(spark):
+    rows = [(f"urn:x/{c}", "p", "o", "string") for c in ("a b", "a<b", "a%20b", "a\rb")]
+    lines = [r.value for r in sinks.ntriples(spark.createDataFrame(rows, "s string, p string, o string, dtype string")).collect()]
+    assert len(set(lines)) == 4 and all("\r" not in x for x in lines)
