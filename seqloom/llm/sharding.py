@@ -3,8 +3,9 @@
 Two documents are linked if they share a link key (here: the text). Every document starts in a shard dealt
 by hash. In each round a link key asks its documents to the shard that holds most of them; the counts of
 documents are gathered per (key, shard) before anything is shuffled, so that a key with a third of all rows
-costs a few rows. Requests to a shard are granted in the order of a hash up to its quota, the places that
-linked documents leave free. Unlinked documents have no wish and fill up what remains.
+costs a few rows. Requests to a shard are granted in the order of a hash up to its quota, the places
+not held by linked documents that stay. Unlinked documents have no wish and fill up what remains; if leavers
+are refused elsewhere, a shard may be too full for a round, which the next rounds and the law below mend.
 
 At the end the law ``rows`` holds: all documents stand in the order (shard, link key) and are cut into equal
 counts, so that shards differ by one row at most and at most one key is cut at each border.
@@ -51,10 +52,10 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 3) -> DataFra
     counts = stored(state.where("part IS NOT NULL").groupBy("part", "label").agg(F.count("*").alias("n")), "counts")
     for step in range(rounds):
         best = Window.partitionBy("part").orderBy(F.desc("n"), "label")
-        want = (counts.withColumn("target", F.first("label").over(best))
-                .where("target <> label")
+        aimed = counts.withColumn("target", F.first("label").over(best))
+        want = (aimed.where("target <> label")
                 .withColumn("cell", F.pmod(F.xxhash64("part", F.lit(step)), F.lit(CELLS)).cast("int")))
-        load = counts.groupBy("label").agg(F.sum("n").alias("linked"))
+        load = aimed.where("target = label").groupBy("label").agg(F.sum("n").alias("linked"))
         quota = (spark.range(shards).select(F.col("id").cast("int").alias("label")).join(load, "label", "left")
                  .select(F.col("label").alias("target"), (F.lit(capacity) - F.coalesce("linked", F.lit(0))).alias("free")))
         asked = running(want, ["target"], ["cell"], [F.col("part"), F.col("label")], F.col("n"), "ahead")
