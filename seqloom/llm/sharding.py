@@ -24,6 +24,8 @@ SHARDS = 24
 PART = 2000
 SALTS = 32
 CELLS = 256
+#: Quota of a shard during the rounds, as a multiple of an equal share; the law at the end is exact.
+SLACK = 1.25
 
 
 def _shares(cols: list[str], salts: int = SALTS) -> Column:
@@ -31,7 +33,7 @@ def _shares(cols: list[str], salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(7)), F.lit(salts)).cast("int")
 
 
-def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 3) -> DataFrame:
+def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
     """``rows`` has row_key (long), link (long, null: linked to nothing). Adds ``label`` and ``part``.
 
     ``part`` numbers the parts of a link key that are moved as a whole; it is null for unlinked rows.
@@ -47,7 +49,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 3) -> DataFra
                   F.xxhash64("link", F.pmod(F.xxhash64("row_key", F.lit(13)), F.col("parts"))))
     state = stored(held.withColumn("part", part).withColumn("label", first).drop("parts"), "labels")
     total = state.count()
-    capacity = -(-total // shards)
+    capacity = -(-int(total * SLACK) // shards)
     # counts of linked documents per part and shard: all that a round needs
     counts = stored(state.where("part IS NOT NULL").groupBy("part", "label").agg(F.count("*").alias("n")), "counts")
     for step in range(rounds):
@@ -74,7 +76,7 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 3) -> DataFra
     return linked.unionByName(state.where("part IS NULL")), total
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 3) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
     """Shard ``docs`` (doc_id, text) under the law ``rows``.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot, grown_shard (null:
