@@ -53,3 +53,10 @@ def flat_binary(column, dtype):
     size = np.dtype(dtype).itemsize
     bounds = np.concatenate([[0], np.cumsum([len(p) // size for p in parts], dtype=np.int64)]).astype(np.int64)
     return np.frombuffer(b"".join(parts), dtype=dtype), bounds
+
+
+def small(batches, rows: int = 512):
+    """Arrow batches in slices of at most ``rows`` rows, so that what a task derives from one stays small."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import small
 from seqloom.llm.tokens import default_tokenizer, encoder
 
 
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, capacity: int = 2048, pieces: int = 3, group: int = 1
             return rows
 
         like = None
-        for b in batches:
+        for b in small(batches):
             like = b.column(0).type
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), use.encode(b.column(1).to_pylist(), end)):

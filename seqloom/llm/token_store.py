@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import flat_binary, partitions, scratch_path
+from seqloom.llm.common import flat_binary, partitions, scratch_path, small
 from seqloom.llm.tokens import default_tokenizer, encoder, vocabulary_size
 
 STEP = 256
@@ -143,7 +143,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     def tokenise(batches):
         shard, use = TaskContext.get().partitionId(), encoder(tokenizer)
-        for b in batches:
+        for b in small(batches):
             ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in use.encode(b.column(1).to_pylist(), end)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * len(ids), pa.int32()), b.column(0), pa.array(ids, pa.binary())],
