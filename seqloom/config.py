@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 class Config:
     """One immutable parameter set; every plan takes one instead of module state."""
 
-    sample_seconds: int = 14_400  # length of one tick of a series
+    sample_seconds: int = 1  # length of one tick of a series
     series: str = "profile"  # "profile" or "offset"
     l_kernel: int = 8
     var_kernel: float = 0.5

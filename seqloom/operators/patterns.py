@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.config import DEFAULT, Config
-from seqloom.functions.chords import chord_masks, key_info, vocabulary
+from seqloom.functions.chords import chord_masks, key_info
 from seqloom.functions.series import resample
 from seqloom.operators.ordered import Ordered, first_non_null, index_sequence, per_key, running
 from seqloom.operators.projection import series_value, with_references
@@ -102,10 +102,8 @@ def known_sequences(rows: DataFrame) -> Ordered:
     ticks = F.replace("duration", F.lit("*"), F.lit("1")).cast("bigint")
     seq = seq.with_df(seq.df.filter(F.col("n_chords") > 1).withColumn("ticks", ticks))
     seq = running(seq, {"t1": ("sum", "ticks")})
-    chords = vocabulary(rows, "chord", chord_masks, "cm")
-    keys = vocabulary(rows, "key", key_info, "km")
-    seq = seq.with_df(seq.df.withColumn("t0", F.col("t1") - F.col("ticks"))
-                      .join(chords, "chord", "left").join(keys, "key", "left"))
+    seq = seq.with_df(seq.df.withColumns({
+        "t0": F.col("t1") - F.col("ticks"), "cm": chord_masks("chord"), "km": key_info("key")}))
     seq = per_key(seq, {"gk": F.min_by("km", "pos"), "global_key": F.min_by("key", "pos")})
     return with_references(seq)
 

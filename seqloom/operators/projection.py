@@ -6,21 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.config import DEFAULT, Config
-from seqloom.functions.chords import (chord_masks, key_info, tonic_chord, tonic_masks,
-                                      tps_distance, vocabulary)
+from seqloom.functions.chords import chord_masks, key_info, tonic_chord, tonic_masks, tps_distance
 from seqloom.operators.ordered import Ordered, first_non_null, per_key, running, shifted
 
 
-def attach_vocabulary(seq: Ordered, labels: DataFrame) -> Ordered:
-    """Join the parsed chord (``cm``) and key annotation (``ka``) to every event.
+def parse_labels(seq: Ordered) -> Ordered:
+    """Add the parsed chord (``cm``) and key annotation (``ka``) of every event.
 
-    ``labels`` holds the same two label columns and may be a narrower scan of the same data.
-    The vocabularies are small in practice but not by construction, so the choice between
-    broadcast and shuffle join is left to the optimizer's size check.
+    Labels are parsed per row: a join with their vocabulary would shuffle all events by label, and few
+    labels hold most of them.
     """
-    chords = vocabulary(labels, "chord", chord_masks, "cm")
-    keys = vocabulary(labels, "key_annotation", key_info, "ka")
-    return seq.with_df(seq.df.join(chords, "chord", "left").join(keys, "key_annotation", "left"))
+    return seq.with_df(seq.df.withColumns({"cm": chord_masks("chord"), "ka": key_info("key_annotation")}))
 
 
 def align_keys(seq: Ordered) -> Ordered:
@@ -85,22 +81,27 @@ def spans(events: DataFrame, track: str, kinds: tuple[str, ...], cfg: Config = D
     Events rounded to the same onset last zero ticks but for the latest of them, so the rows
     are reduced to one per (track, onset) before the next onset is looked up. What is left per
     track is bounded by the time range, however many events a track has. The last event lasts
-    one tick. Times count from the first onset of the track.
+    until its ``end_micros`` if the events have that column, and one tick at least. Times count
+    from the first onset of the track.
     """
-    carried = ["chord", "key", "pos", *kinds]
+    known_end = "end_micros" in events.columns
+    carried = ["chord", "key", "pos", *kinds, *(["end_micros"] if known_end else [])]
     latest = (events
               .withColumn("onset", quantise(F.col("micros"), cfg.sample_seconds))
               .groupBy(track, "onset")
               .agg(F.max_by(F.struct(*carried), F.col("pos")).alias("_e")))
     w = Window.partitionBy(track).orderBy("onset")
     origin = F.min("onset").over(Window.partitionBy(track))
+    end = F.col("onset") + 1
+    if known_end:
+        end = F.greatest(end, quantise(F.col("_e.end_micros"), cfg.sample_seconds))
     return (latest
             .withColumn("_next", F.lead("onset").over(w))
             .withColumn("_origin", origin)
             .select(track, F.col("_e.pos").alias("event_pos"), "_e.chord", "_e.key",
                     *[F.col(f"_e.{k}") for k in kinds],
                     (F.col("onset") - F.col("_origin")).alias("t0"),
-                    (F.coalesce("_next", F.col("onset") + 1) - F.col("_origin")).alias("t1")))
+                    (F.coalesce("_next", end) - F.col("_origin")).alias("t1")))
 
 
 def ticks(span_rows: DataFrame) -> DataFrame:

@@ -238,6 +238,13 @@ def similarity_edges(segments: DataFrame, cfg: Config = DEFAULT,
             .withColumn("distance", F.round("distance", 2)))
 
 
+def series_of(column: pa.Array) -> list[np.ndarray]:
+    """The series of a column of arrays, cut out of its values; a null series is empty."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(values, ends[:-1]) if len(column) else []
+
+
 def pair_distances(pairs: DataFrame, metric: str, constraint: str | None = None,
                    cfg: Config = DEFAULT, left: str = "a", right: str = "b") -> DataFrame:
     """Distance of the two series of each row; replaces the series by ``distance``.
@@ -249,9 +256,8 @@ def pair_distances(pairs: DataFrame, metric: str, constraint: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a = [np.asarray(v, dtype=float) for v in b.column(left).to_pylist()]
-            c = [np.asarray(v, dtype=float) for v in b.column(right).to_pylist()]
-            d = kernels.distances(metric, a, c, constraint, cfg.sakoe_chiba_radius,
+            d = kernels.distances(metric, series_of(b.column(left)), series_of(b.column(right)),
+                                  constraint, cfg.sakoe_chiba_radius,
                                   cfg.itakura_max_slope, cfg.lcss_eps, cfg.soft_gamma)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.array(np.round(d, 9))],
                                              names=[*keep, "distance"])
@@ -259,23 +265,35 @@ def pair_distances(pairs: DataFrame, metric: str, constraint: str | None = None,
     return pairs.mapInArrow(run, schema)
 
 
-def find_similar(query: Column, dataset: DataFrame, k: int, threshold: float) -> DataFrame:
+def find_similar(query: Column, dataset: DataFrame, k: int, threshold: float, metric: str = "dtw",
+                 constraint: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """The ``k`` nearest rows of ``dataset(id, ts)`` to one given series, then the threshold.
 
-    Euclidean metric on series of one length. One scan: the query is a constant, the ranking is
-    a top-k without a full sort.
+    ``metric``: ``euclidean``, for series of one length, or one of `pair_distances`. Ranked by the
+    distance before it is rounded, ties to the smaller id. One scan: every batch keeps the rows no
+    farther than its k-th, and the ranking of these is a top-k without a full sort.
     """
-    dist = F.sqrt(F.aggregate(F.zip_with("ts", query, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                              lambda s, d: s + d))
-    top = (dataset.select("id", F.round(dist, 6).alias("distance"))
-           .orderBy("distance", "id").limit(k))
-    return top.filter(F.col("distance") <= threshold)
-
-
-def find_similar_fromidx(idx, dataset: DataFrame, k: int, threshold: float) -> DataFrame:
+    rows = dataset.select("id", F.col("ts").alias("a"), query.alias("b"))
+    if metric == "euclidean":
+        squares = F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))
+        near = rows.select("id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, d: s + d)).alias("distance"))
+    else:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                d = kernels.distances(metric, series_of(b.column("a")), series_of(b.column("b")), constraint,
+                                      cfg.sakoe_chiba_radius, cfg.itakura_max_slope, cfg.lcss_eps, cfg.soft_gamma)
+                keep = np.arange(len(d)) if len(d) <= k else np.flatnonzero(~(d > np.partition(d, k - 1)[k - 1]))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep)), pa.array(d[keep])],
+                                                 names=["id", "distance"])
+
+        near = rows.mapInArrow(run, rows.select("id").schema.add("distance", "double"))
+    top = near.orderBy("distance", "id").limit(k)
+    return top.filter(F.col("distance") <= threshold).withColumn("distance", F.round("distance", 6))
+
+
+def find_similar_fromidx(idx, dataset: DataFrame, k: int, threshold: float, metric: str = "dtw",
+                         constraint: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """The same for a member of the dataset: it counts among the ``k`` and is then left out."""
-    row = dataset.filter(F.col("id") == F.lit(idx)).select("ts").first()
-    if row is None:
-        raise KeyError(idx)
-    query = F.array(*[F.lit(float(v)) for v in row.ts])
-    return find_similar(query, dataset, k, threshold).filter(F.col("id") != F.lit(idx))
+    own = dataset.filter(F.col("id") == F.lit(idx)).select("ts").scalar()
+    query = F.coalesce(own, F.raise_error(F.lit(f"no series has the id {idx!r}")))
+    return find_similar(query, dataset, k, threshold, metric, constraint, cfg).filter(F.col("id") != F.lit(idx))

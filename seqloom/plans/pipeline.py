@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.config import DEFAULT, Config
+from seqloom.config import Config
 from seqloom.operators import projection as P
 from seqloom.operators import segmentation as G
 from seqloom.operators.similarity import similarity_edges
 from seqloom.session import ensure_checkpoint_dir
-from seqloom.sources.tables import TRACK, chord_sequence
+from seqloom.sources.tables import TABLES, TRACK, chord_sequence
 
 
 def series_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,18 +19,18 @@ def series_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("offset", P.offset_value()).withColumn("profile", P.profile_value()))
 
 
-def tick_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
+def tick_frame(spark: SparkSession, sf_dir: str, cfg: Config = TABLES) -> DataFrame:
     """One row per tick with the configured series as ``v``."""
     seq = chord_sequence(spark, sf_dir)
     events = seq.df.withColumn("v", P.series_value(cfg.series))
     return P.ticks(P.spans(events, TRACK, ("v",), cfg))
 
 
-def numbered_ticks(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
+def numbered_ticks(spark: SparkSession, sf_dir: str, cfg: Config = TABLES) -> DataFrame:
     return G.novelty_split(tick_frame(spark, sf_dir, cfg), TRACK, "v", cfg)
 
 
-def segment_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
+def segment_frame(spark: SparkSession, sf_dir: str, cfg: Config = TABLES) -> DataFrame:
     return G.segments(numbered_ticks(spark, sf_dir, cfg), TRACK, "v")
 
 
@@ -44,7 +44,7 @@ def with_id(segments: DataFrame) -> DataFrame:
     return segments.withColumn("id", F.struct(TRACK, "seg_ord"))
 
 
-def edge_frame(segments: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def edge_frame(segments: DataFrame, cfg: Config = TABLES) -> DataFrame:
     """Similarity edges with their ends as (track, ordinal) columns."""
     e = similarity_edges(with_id(segments).select("id", "ts"), cfg)
     return e.select(F.col(f"source.{TRACK}").alias("source_track"), F.col("source.seg_ord").alias("source_ord"),

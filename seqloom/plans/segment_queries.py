@@ -134,15 +134,19 @@ def embedding_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("ts"))
 
 
-def find_similar_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest embeddings to a given series, here the zero one."""
-    e = embedding_series(spark, sf_dir)
-    return find_similar(F.array_repeat(F.lit(0.0), F.size("ts")), e, DEFAULT.num_searches, DEFAULT.dist_threshold)
+def find_similar_series(metric: str):
+    """The nearest embeddings to a given series, here a saw-tooth."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        saw = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i % 8 - F.lit(3.5)) / F.lit(20.0))
+        return find_similar(saw, embedding_series(spark, sf_dir), DEFAULT.num_searches, DEFAULT.dist_threshold, metric)
+    return run
 
 
-def find_similar_to_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+def find_similar_to_member(metric: str):
     """The nearest embeddings to one of them."""
-    return find_similar_fromidx(0, embedding_series(spark, sf_dir), DEFAULT.num_searches, DEFAULT.dist_threshold)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return find_similar_fromidx(0, embedding_series(spark, sf_dir), DEFAULT.num_searches, DEFAULT.dist_threshold, metric)
+    return run
 
 
 QUERIES = {
@@ -166,8 +170,12 @@ QUERIES = {
     "ctw_next": _next_distance("ctw"),
     "min_area_next": min_area_next,
     "progression_concat": progression_concat,
-    "find_similar": find_similar_series,
-    "find_similar_fromidx": find_similar_to_member,
+    "find_similar": find_similar_series("dtw"),
+    "find_similar_fromidx": find_similar_to_member("dtw"),
+    "find_similar_euclidean": find_similar_series("euclidean"),
+    "find_similar_fromidx_euclidean": find_similar_to_member("euclidean"),
+    "lcss_sakoe_chiba_next": _next_distance("lcss", "sakoe_chiba"),
+    "lcss_itakura_next": _next_distance("lcss", "itakura"),
 }
 
 
@@ -195,7 +203,8 @@ pn AS MATERIALIZED (SELECT *, len(a) AS n, len(b) AS m FROM pr)
 INF = "CAST('inf' AS DOUBLE)"
 
 
-def _diagonal_sql(cost: str, step: str, edge: str, final: str, inside: str = "true") -> str:
+def _diagonal_sql(cost: str, step: str, edge: str, final: str, inside: str = "true", parts: str = PAIRS,
+                  keys: str = "user_id, seg_ord", tail: str | None = None) -> str:
     """``step`` combines ``c`` (cost) with the three predecessors ``dg``, ``up``, ``lf``."""
     def cell(d: str) -> str:
         dg = f"CASE WHEN i = 0 AND {d} - i = 0 THEN CAST(0 AS DOUBLE) ELSE coalesce(p2[i], {edge}) END"
@@ -207,15 +216,16 @@ def _diagonal_sql(cost: str, step: str, edge: str, final: str, inside: str = "tr
         ok = inside.replace("$i", "i").replace("$j", f"({d} - i)")
         return (f"list_transform(range(0, n), lambda i: CASE WHEN {d} - i BETWEEN 0 AND m - 1 "
                 f"THEN CASE WHEN {ok} THEN CAST({body} AS DOUBLE) ELSE {edge} END ELSE {edge} END)")
-    return recursive(PAIRS, f"""
+    tail = tail or f"SELECT {keys}, round({final}, 9) AS distance FROM dp WHERE d = n + m - 2"
+    return recursive(parts, f"""
         , dp AS (
-          SELECT user_id, seg_ord, a, b, n, m, CAST(-1 AS BIGINT) AS d,
+          SELECT {keys}, a, b, n, m, CAST(-1 AS BIGINT) AS d,
                  list_transform(range(0, n), lambda i: {edge}) AS p1,
                  list_transform(range(0, n), lambda i: {edge}) AS p2 FROM pn
           UNION ALL
-          SELECT user_id, seg_ord, a, b, n, m, d + 1, {cell('(d + 1)')}, p1
+          SELECT {keys}, a, b, n, m, d + 1, {cell('(d + 1)')}, p1
           FROM dp WHERE d < n + m - 2)
-        SELECT user_id, seg_ord, round({final}, 9) AS distance FROM dp WHERE d = n + m - 2""")
+        {tail}""")
 
 
 SQUARE = "(a[$i] - b[$j]) * (a[$i] - b[$j])"
@@ -227,6 +237,27 @@ HARD = "$c + least($dg, $up, $lf)"
 LOW = "least($dg, $up, $lf)"
 SOFT = f"$c + {LOW} - ln(exp({LOW} - $dg) + exp({LOW} - $up) + exp({LOW} - $lf))"
 
+LCSS = ("CASE WHEN abs(a[$i] - b[$j]) <= 1 THEN 1.0 ELSE 0.0 END",
+        "CASE WHEN $c = 1 THEN $dg + 1 ELSE greatest($up, $lf) END", "CAST(0 AS DOUBLE)", "1 - p1[n] / least(n, m)")
+
+
+def _search_sql(query: str, metric: str, besides: str = "true") -> str:
+    """The nearest series to ``query``, a one-row relation with the list ``q``."""
+    parts = f"""
+        e AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS ts
+                           FROM embeddings),
+        pn AS MATERIALIZED (SELECT id, ts AS a, q AS b, len(ts) AS n, len(q) AS m FROM e, ({query}))"""
+    top = f""", top AS (SELECT * FROM r ORDER BY distance, id LIMIT 10)
+        SELECT id, round(distance, 6) AS distance FROM top WHERE distance <= 2.0 AND {besides}"""
+    if metric == "euclidean":
+        return recursive(parts, f", r AS (SELECT id, list_distance(a, b) AS distance FROM pn) {top}")
+    return _diagonal_sql(SQUARE, HARD, INF, "", parts=parts, keys="id", tail=f"""
+        , r AS (SELECT id, sqrt(p1[n]) AS distance FROM dp WHERE d = n + m - 2) {top}""")
+
+
+SAW = "SELECT list_transform(range(0, 64), lambda i: (i % 8 - CAST(3.5 AS DOUBLE)) / CAST(20 AS DOUBLE)) AS q"
+FIRST = "SELECT ts AS q FROM e WHERE id = 0"
+
 SQL = {
     "novelty_curve": query(Q.SEGMENTS, """
         SELECT user_id, t, novelty, smooth, threshold, is_peak FROM pk"""),
@@ -285,10 +316,9 @@ SQL = {
     "dtw_next": _diagonal_sql(SQUARE, HARD, INF, "sqrt(p1[n])"),
     "dtw_sakoe_chiba_next": _diagonal_sql(SQUARE, HARD, INF, "sqrt(p1[n])", BAND),
     "dtw_itakura_next": _diagonal_sql(SQUARE, HARD, INF, "sqrt(p1[n])", ITAKURA),
-    "lcss_next": _diagonal_sql(
-        "CASE WHEN abs(a[$i] - b[$j]) <= 1 THEN 1.0 ELSE 0.0 END",
-        "CASE WHEN $c = 1 THEN $dg + 1 ELSE greatest($up, $lf) END", "CAST(0 AS DOUBLE)",
-        "1 - p1[n] / least(n, m)"),
+    "lcss_next": _diagonal_sql(*LCSS),
+    "lcss_sakoe_chiba_next": _diagonal_sql(*LCSS, BAND),
+    "lcss_itakura_next": _diagonal_sql(*LCSS, ITAKURA),
     "softdtw_next": _diagonal_sql(SQUARE, SOFT, INF, "p1[n]"),
     "min_area_next": query(PAIRS, """
         , o AS (SELECT *, CASE WHEN n >= m THEN a ELSE b END AS l, CASE WHEN n >= m THEN b ELSE a END AS s FROM pn)
@@ -301,15 +331,8 @@ SQL = {
         SELECT artist, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, user_id,
                CAST(sum(n_ticks) OVER w AS BIGINT) - n_ticks AS t_start, CAST(sum(n_ticks) OVER w AS BIGINT) AS t_end
         FROM f WINDOW w AS (PARTITION BY artist ORDER BY user_id)"""),
-    "find_similar": """
-        WITH d AS (SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x:
-                     round(CAST(x AS DOUBLE), 6) * round(CAST(x AS DOUBLE), 6)))), 6) AS distance FROM embeddings),
-        top AS (SELECT * FROM d ORDER BY distance, id LIMIT 10)
-        SELECT id, distance FROM top WHERE distance <= 2.0""",
-    "find_similar_fromidx": """
-        WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS ts FROM embeddings),
-        q AS (SELECT ts AS q FROM e WHERE id = 0),
-        d AS (SELECT id, round(list_distance(ts, q), 6) AS distance FROM e, q),
-        top AS (SELECT * FROM d ORDER BY distance, id LIMIT 10)
-        SELECT id, distance FROM top WHERE distance <= 2.0 AND id <> 0""",
+    "find_similar": _search_sql(SAW, "dtw"),
+    "find_similar_fromidx": _search_sql(FIRST, "dtw", "id <> 0"),
+    "find_similar_euclidean": _search_sql(SAW, "euclidean"),
+    "find_similar_fromidx_euclidean": _search_sql(FIRST, "euclidean", "id <> 0"),
 }

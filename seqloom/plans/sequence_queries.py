@@ -14,7 +14,7 @@ from seqloom.plans import sql_parts as Q
 from seqloom.plans.pipeline import series_frame
 from seqloom.plans.sql_parts import query
 from seqloom.session import table
-from seqloom.sources.tables import TRACK, chord_label, chord_sequence, event_sequence, metadata
+from seqloom.sources.tables import TABLES, TRACK, chord_label, chord_sequence, event_sequence, metadata
 
 KINDS = ("offset", "profile")
 
@@ -53,7 +53,7 @@ def chord_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.spans(series_frame(spark, sf_dir), TRACK, KINDS)
+    return P.spans(series_frame(spark, sf_dir), TRACK, KINDS, TABLES)
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:

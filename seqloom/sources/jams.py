@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.ordered import Ordered, index_sequence
-from seqloom.operators.projection import align_keys, attach_vocabulary, with_references
-from seqloom.session import ship_package
+from seqloom.operators.projection import align_keys, parse_labels, with_references
+from seqloom.session import ensure_checkpoint_dir, ship_package
 
 OBSERVATION = "struct<time:double,duration:double,value:string,confidence:double>"
 SCHEMA = (
@@ -78,19 +80,27 @@ def spans_from_onsets(obs: DataFrame) -> DataFrame:
 def progressions(docs: DataFrame) -> Ordered:
     """Documents as ordered chord sequences with aligned keys and comparison chords.
 
-    A key starting with a chord applies to it: at equal times keys sort first.
+    A key starting with a chord applies to it: at equal times keys sort first. ``micros`` is the
+    onset of a chord and ``end_micros`` its end (`spans_from_onsets`). Documents are parsed once
+    and stored. Unreadable ones are left out, and a warning tells how many there are.
     """
-    chords = observations(docs, CHORD_NAMESPACES).select(
+    ensure_checkpoint_dir(docs.sparkSession)
+    unread = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in docs.columns else F.lit(False)
+    docs = docs.select("track", "annotations", unread.alias("_unread")).checkpoint()
+    lost = docs.filter("_unread").count()
+    if lost:
+        warnings.warn(f"{lost} documents could not be read", stacklevel=2)
+    chords = spans_from_onsets(observations(docs, CHORD_NAMESPACES)).select(
         "track", "time", F.lit(1).alias("_kind"), "ord", F.col("value").alias("chord"),
-        F.lit(None).cast("string").alias("key_annotation"))
+        F.lit(None).cast("string").alias("key_annotation"), "t_end")
     keys = observations(docs, (KEY_NAMESPACE,)).select(
         "track", "time", F.lit(0).alias("_kind"), "ord", F.lit(None).cast("string").alias("chord"),
-        F.col("value").alias("key_annotation"))
+        F.col("value").alias("key_annotation"), F.lit(None).cast("double").alias("t_end"))
     both = chords.unionByName(keys)
     seq = index_sequence(both, ("track",), ("time", "_kind", "ord"))
-    seq = align_keys(attach_vocabulary(seq, both))
+    seq = align_keys(parse_labels(seq))
     # back to chords only: number them again without the key rows
     only = seq.df.filter(F.col("_kind") == 1).drop("_kind", "pos")
     again = index_sequence(only, ("track",), ("time", "ord"))
-    return with_references(again.with_df(
-        again.df.withColumn("micros", F.round(F.col("time") * 1_000_000).cast("long"))))
+    micros = {n: F.round(F.col(c) * 1_000_000).cast("long") for n, c in (("micros", "time"), ("end_micros", "t_end"))}
+    return with_references(again.with_df(again.df.withColumns(micros).drop("t_end")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.config import DEFAULT
 from seqloom.operators.ordered import Ordered, index_sequence
-from seqloom.operators.projection import align_keys, attach_vocabulary, with_references
+from seqloom.operators.projection import align_keys, parse_labels, with_references
 from seqloom.session import table
 
 # Note names by pitch class, chord qualities by event type.
@@ -15,6 +18,9 @@ QUALITY = {"click": "maj", "view": "min", "purchase": "7", "signup": "min7"}
 
 TRACK = "user_id"
 
+#: The events of these tables are hours apart: one tick of their series is four hours long.
+TABLES = replace(DEFAULT, sample_seconds=14_400)
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp without time zone (session zone is UTC)."""
@@ -50,8 +56,7 @@ def chord_sequence(spark: SparkSession, sf_dir: str) -> Ordered:
     labels = [chord_label().alias("chord"), key_annotation().alias("key_annotation")]
     seq = event_sequence(spark, sf_dir, "event_type", "value", "props")
     seq = seq.with_df(seq.df.select(TRACK, "pos", "event_id", micros(F.col("ts")).alias("micros"), *labels))
-    seq = attach_vocabulary(seq, table(spark, sf_dir, "events").select(*labels))
-    return with_references(align_keys(seq))
+    return with_references(align_keys(parse_labels(seq)))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

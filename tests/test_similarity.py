@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.config import DEFAULT
 from seqloom.functions import kernels
@@ -68,3 +69,27 @@ def test_negative_values_and_wide_range(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(series)], "id long, ts array<int>")
     got = {(r.source, r.target, r.distance, r.type) for r in S.similarity_edges(df, cfg).collect()}
     assert got == pool_edges(series, cfg)
+
+
+@pytest.mark.parametrize("metric", ["dtw", "lcss", "euclidean"])
+def test_find_similar(spark, metric):
+    rnd = random.Random(5)
+    series = [[float(rnd.randrange(4)) for _ in range(4)] for _ in range(80)] + [[0.0, 0.0, 0.0, 1.0], [0.0, 1.0, 1.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(series)), "id long, ts array<double>").repartition(3)
+
+    def want(q, k, limit):
+        if metric == "euclidean":
+            d = [float(np.linalg.norm(np.subtract(s, q))) for s in series]
+        else:
+            d = kernels.distances(metric, [np.array(s) for s in series], [np.array(q)] * len(series)).tolist()
+        near = sorted((x, i) for i, x in enumerate(d))[:k]
+        return [(i, round(x, 6)) for x, i in near if x <= limit]
+
+    query = F.array(*[F.lit(v) for v in series[80]])
+    assert [tuple(r) for r in S.find_similar(query, df, 9, 1.5, metric).collect()] == want(series[80], 9, 1.5)
+    got = [tuple(r) for r in S.find_similar_fromidx(81, df, 9, 1.5, metric).collect()]
+    assert got == [x for x in want(series[81], 9, 1.5) if x[0] != 81]
+    if metric == "dtw":
+        assert (80, 0.0) in got
+    with pytest.raises(Exception, match="no series has the id 99"):
+        S.find_similar_fromidx(99, df, 3, 1.0, metric).collect()
