@@ -22,7 +22,7 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
 SHARD_SLOTS = 4096
-#: Prime multipliers: larger than any number of blocks, so coprime to it.
+#: Prime multipliers; no two of them divide the same number of up to 2**62 blocks.
 PRIMES = (2147483659, 2147483693, 2147483713, 2147483743)
 
 
@@ -52,10 +52,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def _permuted(k: Column, n: Column, seed: Column) -> Column:
-    """``k`` in 0..n-1 under an affine permutation that the seed chooses."""
-    pick = F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(len(PRIMES))).cast("int") + 1
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), pick)
-    return F.pmod(F.pmod(prime, n) * k + F.pmod(F.xxhash64(seed, F.lit(2)), n), n)
+    """``k`` in 0..n-1 under an affine permutation that the seed chooses, for up to 2**40 values."""
+    pick = F.pmod(F.xxhash64(seed, F.lit(1)), F.lit(len(PRIMES))).cast("int")
+    primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
+    first, other = F.get(primes, pick), F.get(primes, F.pmod(pick + 1, F.lit(len(PRIMES))))
+    factor = F.pmod(F.when(F.pmod(n, first) == 0, other).otherwise(first), n)
+    # the product is taken in two steps of 20 bits, so that it stays within a long
+    high, low = F.shiftright(k, 20), k.bitwiseAND(F.lit((1 << 20) - 1))
+    product = F.pmod(F.pmod(factor * high, n) * F.lit(1 << 20) + factor * low, n)
+    return F.pmod(product + F.pmod(F.xxhash64(seed, F.lit(2)), n), n)
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 42, weights: tuple[int, ...] = WEIGHTS,

@@ -295,6 +295,18 @@ def test_permutations_and_primes(spark):
         assert sorted(r.k for r in k.collect()) == list(range(n))
 
 
+def test_permutations_of_more_blocks_than_a_product_of_longs_holds(spark):
+    for n in ((1 << 40) - 3, 3 * mixing.PRIMES[0], 7 * mixing.PRIMES[3]):
+        at = [0, 1, 2, (1 << 20) - 1, 1 << 20, n // 2, n - 2, n - 1]
+        for seed in range(8):
+            rows = spark.createDataFrame([(k,) for k in at], "k long").select(
+                "k", mixing._permuted(F.col("k"), F.lit(n).cast("long"), F.lit(seed)).alias("p")).collect()
+            moved = {r.k: r.p for r in rows}
+            step = (moved[1] - moved[0]) % n
+            assert math.gcd(step, n) == 1
+            assert all(moved[k] == (moved[0] + step * k) % n for k in at)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href=x>Home</a>
 </nav><div class="ad">Buy now</div><div class="cookie-notice">We use cookies</div><form><input>Send</form>
 <article><h1>Head &amp; more</h1><p><b>First   line
