@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_operators import LONG, ids_of, water
 
 import corpus_pipeline as cp
-from seqloom.llm import mixing, packing, quality, simhash
+from seqloom.llm import mixing, near_text, packing, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in ("ba", "lo", "mi", "tor", "sun") for b in ("ra", "ken", "dle", "vo", "st")]
@@ -129,6 +129,60 @@ def test_one_document_of_each_group_stays(spark, docs, tables):
     assert ids >= {3, 4, 5, 7, 300, None} and not ids & {200, 201, 202, 203, 301, 302}
 
 
+def edited():
+    """A long group of edited copies, pairs of texts around the limit, and texts that share a frequent passage."""
+    rnd = random.Random(11)
+    prose = lambda n: [rnd.choice(WORDS) + str(rnd.randrange(9)) for _ in range(n)]
+    base, passage, texts = prose(120), prose(60), []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rnd.randrange(4)):
+            w[rnd.randrange(len(w))] = rnd.choice(WORDS)
+        texts.append(w)
+    for n in (1, 3, 6, 30, 100, 400):
+        w = prose(n)
+        texts.append(w)
+        for k in (1, 2, 4, 9, 16):
+            texts.append([rnd.choice(WORDS) if rnd.random() < k / 200 else x for x in w])
+    texts += [passage + prose(k % 40) for k in range(80)] + [prose(50) for _ in range(20)]
+    return [(i, " ".join(w), "en", "a", 1) for i, w in enumerate(texts)]
+
+
+def shingle_sets(rows):
+    out = []
+    for r in rows:
+        w = r[1].lower().split()
+        out.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    return out
+
+
+@pytest.mark.parametrize("full", [2, 64])
+def test_edited_copies_go(spark, full):
+    """Components equal those of all pairs with a shingle similarity of 0.8, of which SimHash links a part."""
+    rows = edited()
+    sets, group, far = shingle_sets(rows), list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > 2
+                if group[i] != group[j]:
+                    group = [group[j] if g == group[i] else g for g in group]
+    least = {g: min(r[0] for r, h in zip(rows, group) if h == g) for g in group}
+    texts = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id v", "text").dropDuplicates(["text"])
+    links = near_text.near_links(texts, full).collect()
+    assert far > 100 and all(5 * len(sets[r.a] & sets[r.b]) >= 4 * len(sets[r.a] | sets[r.b]) for r in links)
+    same = {r[0]: r[0] for r in rows}
+    for r in links:
+        x, y = same[r.a], same[r.b]
+        same = {k: y if v == x else v for k, v in same.items()}
+    kept = texts.select("v").collect()
+    assert {(x.v, y.v) for x in kept for y in kept if same[x.v] == same[y.v]} == \
+           {(x.v, y.v) for x in kept for y in kept if group[x.v] == group[y.v]}
+    if full == near_text.FULL:
+        got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+        assert {r.doc_id for r in got} == set(least.values())
+
+
 def test_mix_cuts_the_words_taken(spark, docs, tables):
     got = rows_of(cp.mix_sources(spark, docs, tables))
     assert got == Counter(plain_mix(spark, ROWS))
