@@ -20,7 +20,7 @@ from seqloom.llm.common import stored
 from seqloom.llm.ranking import running
 
 SHARDS = 24
-#: Documents of a link key that stay together; a larger key is cut into parts of about this size.
+#: Rows that are placed side by side by one task; it has no part in which rows stay together.
 PART = 2000
 SALTS = 32
 CELLS = 256
@@ -36,20 +36,27 @@ def _shares(cols: list[str], salts: int = SALTS) -> Column:
 def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
     """``rows`` has row_key (long), link (long, null: linked to nothing). Adds ``label`` and ``part``.
 
-    ``part`` numbers the parts of a link key that are moved as a whole; it is null for unlinked rows.
+    ``part`` numbers the parts of a link key that are moved as a whole, one unless the key has more rows than a
+    shard's quota; it is null for unlinked rows. ``big`` is the part if it is placed in pieces, and 0 for all
+    others; ``sub`` is the piece.
     """
     spark = rows.sparkSession
+    total = rows.count()
+    capacity = max(1, -(-int(total * SLACK) // shards))
     first = F.pmod(F.xxhash64("row_key", F.lit(11)), F.lit(shards)).cast("int")
     sizes = (rows.where("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("members"))
              .where("members > 1")
-             .select("link", F.expr(f"cast(ceil(members / {PART}) AS long)").alias("parts")))
+             .select("link", F.expr(f"cast(ceil(members / {capacity}) AS long)").alias("parts"),
+                     F.expr(f"cast(ceil(members / {PART}) AS long)").alias("pieces")))
     spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     held = rows.withColumn("salt", _shares(["row_key"])).join(spread, ["link", "salt"], "left").drop("salt")
     part = F.when(F.col("parts").isNotNull(),
                   F.xxhash64("link", F.pmod(F.xxhash64("row_key", F.lit(13)), F.col("parts"))))
-    state = stored(held.withColumn("part", part).withColumn("label", first).drop("parts"), "labels")
-    total = state.count()
-    capacity = -(-int(total * SLACK) // shards)
+    large = F.coalesce(F.col("pieces") > 1, F.lit(False))
+    piece = F.pmod(F.xxhash64("row_key", F.lit(17)), F.col("pieces")).cast("int")
+    state = stored(held.withColumn("part", part).withColumn("label", first)
+                   .withColumn("big", F.when(large, F.col("part")).otherwise(F.lit(0).cast("long")))
+                   .withColumn("sub", F.when(large, piece).otherwise(F.lit(0))).drop("parts", "pieces"), "labels")
     # counts of linked documents per part and shard: all that a round needs
     counts = stored(state.where("part IS NOT NULL").groupBy("part", "label").agg(F.count("*").alias("n")), "counts")
     for step in range(rounds):
@@ -71,9 +78,22 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFra
     ends = (counts.withColumn("hi", F.sum("n").over(upto)).withColumn("lo", F.col("hi") - F.col("n"))
             .groupBy("part").agg(F.sort_array(F.collect_list(F.struct("hi", "label"))).alias("spans")))
     place = Window.partitionBy("part").orderBy("row_key")
-    linked = (state.where("part IS NOT NULL").withColumn("place", F.row_number().over(place)).join(ends, "part")
-              .withColumn("label", F.expr("filter(spans, s -> s.hi >= place)[0].label")).drop("place", "spans"))
-    return linked.unionByName(state.where("part IS NULL")), total
+    whole = state.where("part IS NOT NULL AND big = 0").withColumn("place", F.row_number().over(place).cast("long") - 1)
+    pieces = running(state.where("part IS NOT NULL AND big <> 0"), ["part"], ["sub"], [F.col("row_key")], F.lit(1), "place")
+    linked = (whole.unionByName(pieces).join(ends, "part")
+              .withColumn("label", F.expr("filter(spans, s -> s.hi > place)[0].label")).drop("place", "spans"))
+    # unlinked documents have no wish: they fill up what the linked ones leave of equal shares
+    held = dict(counts.groupBy("label").agg(F.sum("n")).collect())  # one row per shard
+    ends, left = [], 0
+    for x in range(shards):
+        left += max(0, -(-(x + 1) * total // shards) - -(-x * total // shards) - held.get(x, 0))
+        ends.append(left)
+    alone = state.where("part IS NULL").withColumn(
+        "bucket", F.pmod(F.xxhash64("row_key", F.lit(19)), F.lit(max(1, total // PART))).cast("int"))
+    alone = running(alone, [], ["bucket"], [F.col("row_key")], F.lit(1), "place")
+    full = F.least(F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("place"))),
+                   F.lit(shards - 1))
+    return linked.unionByName(alone.withColumn("label", full).drop("bucket", "place")), total
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
@@ -96,7 +116,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = 4) -> DataFrame:
     placed = labelled.withColumn("order_key", key).withColumn(
         "cell", F.pmod(F.xxhash64("order_key"), F.lit(near)).cast("int"))
     # place within the shard of the propagation, then in all of them: one row per shard
-    placed = running(placed, ["label"], ["cell"], [F.col("order_key"), F.col("row_key"), F.col("doc_id")],
+    placed = running(placed, ["label"], ["cell", "big", "sub"], [F.col("order_key"), F.col("row_key"), F.col("doc_id")],
                      F.lit(1), "inside")
     loads = labelled.groupBy("label").agg(F.count("*").alias("n"))
     earlier = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)

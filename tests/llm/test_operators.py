@@ -159,6 +159,17 @@ def test_equal_texts_stay_together(spark):
     assert cut.linked == 400 and cut.cut <= 7 * 4 + 12
 
 
+@pytest.mark.parametrize("copies", [2, 50, 1000, 4000])
+def test_copies_of_a_text_stay_together_up_to_the_quota(spark, copies):
+    alone = spark.range(30_000 - copies).selectExpr("id + 10000 AS doc_id", "concat('alone ', id) AS text")
+    docs = alone.unionByName(spark.range(copies).selectExpr("id AS doc_id", "'the same' AS text"))
+    got = sharding.assign(docs, 6)
+    cut = sharding.cut_links(got).first()
+    assert cut.linked == copies and cut.cut == 0
+    counts = Counter(r.shard for r in got.select("shard").collect())
+    assert set(counts.values()) == {5000} and got.select("shard", "slot").distinct().count() == 30_000
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8))
