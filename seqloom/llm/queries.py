@@ -8,6 +8,7 @@ from seqloom.llm.html_text import op10_html_ratio
 from seqloom.llm.lm import op7_elias_fano_ngrams
 from seqloom.llm.mixing import op9_mix_blocks
 from seqloom.llm.packing import op6_pack_differencing
+from seqloom.llm.periodic_runs import op13_periodic_runs
 from seqloom.llm.quality import op8_quality_neighbours
 from seqloom.llm.sharding import op4_shard_propagation
 from seqloom.llm.simhash import op2_simhash_segments
@@ -33,5 +34,6 @@ QUERIES = {
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_mix_blocks": _over("documents", op9_mix_blocks),
     "op10_html_ratio": _over("pages", op10_html_ratio),
+    "op13_periodic_runs": _over("documents", op13_periodic_runs),
 }
 SQL = {"op3_bm25_block_max": bm25.SQL}
