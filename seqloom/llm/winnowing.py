@@ -256,7 +256,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM document
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), {SPAN}) AS m,
                unnest(list_transform(range(1, greatest(len(w) - {SPAN}, 0) + 2),
-                                     i -> array_to_string(w[i:i + least(len(w), {SPAN}) - 1], ' '))) AS g
+                                     lambda i: array_to_string(w[i:i + least(len(w), {SPAN}) - 1], ' '))) AS g
         FROM b WHERE len(w) > 0),
 placed AS (SELECT r, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
 hit AS (SELECT r, i, a.m, a.g FROM (SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM placed) a
