@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.llm import bm25, winnowing
+from seqloom.llm import bm25, prefix_trie, winnowing
 from seqloom.llm.ann import op5_learned_partitions
 from seqloom.llm.html_text import op10_html_ratio
 from seqloom.llm.lm import op7_elias_fano_ngrams
@@ -34,8 +34,10 @@ QUERIES = {
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_mix_blocks": _over("documents", op9_mix_blocks),
     "op10_html_ratio": _over("pages", op10_html_ratio),
+    "op11_prefix_trie": _over("conversations", prefix_trie.op11_prefix_trie),
     "op12_winnowed_passages": lambda spark, sf_dir: winnowing.op12_winnowed_passages(
         spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op13_periodic_runs": _over("documents", op13_periodic_runs),
 }
-SQL = {"op3_bm25_block_max": bm25.SQL, "op12_winnowed_passages": winnowing.SQL}
+SQL = {"op3_bm25_block_max": bm25.SQL, "op11_prefix_trie": prefix_trie.SQL,
+       "op12_winnowed_passages": winnowing.SQL}
