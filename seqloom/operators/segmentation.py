@@ -11,14 +11,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.config import DEFAULT, Config
-from seqloom.functions.kernels import fluss_boundaries
+from seqloom.operators.regimes import regime_changes
 
 DIGITS = 9  # curves are rounded so that comparisons do not depend on summation order
 
@@ -159,19 +158,10 @@ def quasirandom_boundaries(length: Column, n_regions: Column) -> Column:
         (r * F.lit(GOLDEN) - F.floor(r * F.lit(GOLDEN))) * length).cast("long"))
 
 
-def baseline_split(ticks: DataFrame, track: str, method: str, n_regions: tuple[int, ...]) -> DataFrame:
-    """Number segments by a data-independent baseline, once per value of ``n_regions``."""
-    n, length = F.col("n_regions"), F.col("_len")
-    bounds = {"uniform_split": lambda: uniform_boundaries(length, n),
-              "random_split": lambda: random_boundaries(length, n, F.col(track)),
-              "quasirandom_split": lambda: quasirandom_boundaries(length, n)}[method]()
-    inside = F.array_distinct(F.filter(bounds, lambda b: (b > 0) & (b < length)))
-    # boundaries are a property of the track: compute them once, then number its ticks
-    return (ticks.withColumn("_len", F.max("t").over(Window.partitionBy(track)) + 1)
-            .withColumn("n_regions", F.explode(F.array(*[F.lit(v) for v in n_regions])))
-            .withColumn("_in", inside)
-            .withColumn("seg_ord", F.size(F.filter("_in", lambda b: b <= F.col("t"))).cast("long"))
-            .drop("_len", "_in"))
+def _drawn(method: str, length: Column, n: Column, track: Column) -> Column:
+    return {"uniform_split": lambda: uniform_boundaries(length, n),
+            "random_split": lambda: random_boundaries(length, n, track),
+            "quasirandom_split": lambda: quasirandom_boundaries(length, n)}[method]()
 
 
 def track_series(ticks: DataFrame, track: str, value: str) -> DataFrame:
@@ -180,19 +170,79 @@ def track_series(ticks: DataFrame, track: str, value: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("t", value))), lambda x: x[value]).alias("ts"))
 
 
-def fluss_split(ticks: DataFrame, track: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
-    """Segment starts of every track by the corrected arc curve, per number of regions."""
-    m = cfg.fluss_m
+#: Splits that need no data but the length of a track, and the one by the arc curve.
+BASELINES = ("uniform_split", "random_split", "quasirandom_split", "fluss")
+
+
+def region_starts(series: DataFrame, track: str, method: str, cfg: Config = DEFAULT) -> DataFrame:
+    """(track, n_regions, starts, n_ticks, ts): where the regions of each track begin, once per number of regions.
+
+    ``series`` is `track_series`. ``starts`` is sorted, begins with 0 and repeats nothing, so there may be fewer
+    regions than asked for.
+    """
+    n, length = F.col("n_regions"), F.size("ts").cast("long")
+    each = F.explode(F.array(*[F.lit(v) for v in cfg.n_regions])).alias("n_regions")
+    if method == "fluss":
+        ticks = series.select(track, F.posexplode("ts").alias("_t", "_v")).select(
+            track, F.col("_t").cast("long").alias("t"), "_v")
+        picks = regime_changes(ticks, track, "_v", cfg)
+        held = series.join(picks, track, "left").select(track, "ts", "picks", each)
+        inside = F.slice(F.coalesce("picks", F.array().cast("array<bigint>")), F.lit(1), n - 1)
+    else:
+        held = series.select(track, "ts", each)
+        inside = F.filter(_drawn(method, length, n, F.col(track)), lambda b: (b > 0) & (b < length))
+    starts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inside)))
+    return held.select(track, "n_regions", starts.alias("starts"), length.alias("n_ticks"), "ts")
+
+
+def slices(starts: DataFrame, track: str, *by: str) -> DataFrame:
+    """Segments of series that begin at ``starts``: one row each, like `segments` gives them."""
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array("n_ticks"))
+    cut = starts.select(*by, track, "ts", F.posexplode(F.arrays_zip("starts", ends.alias("ends"))).alias("seg_ord", "_s"))
+    t0, t1 = F.col("_s.starts"), F.col("_s.ends")
+    return cut.select(*by, track, F.col("seg_ord").cast("long").alias("seg_ord"), t0.alias("t0"), t1.alias("t1"),
+                      F.slice("ts", (t0 + 1).cast("int"), (t1 - t0).cast("int")).alias("ts"))
+
+
+def baseline_segments(ticks: DataFrame, track: str, value: str, method: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Segments of one baseline for every number of regions: (n_regions, track, seg_ord, t0, t1, ts).
+
+    One shuffle collects the series; boundaries are found once per track and number of regions.
+    """
+    return slices(region_starts(track_series(ticks, track, value), track, method, cfg), track, "n_regions")
+
+
+def segment_by(name: str, ticks: DataFrame, track: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Segments by a splitter of the registry: ``novelty`` or one of `BASELINES`, with its parameter set as ``params``."""
+    if name == "novelty":
+        return (segments(novelty_split(ticks, track, value, cfg), track, value)
+                .withColumn("params", paramset(name, l_kernel=F.lit(cfg.l_kernel))))
+    if name not in BASELINES:
+        raise ValueError(f"no splitter {name!r}: novelty, {', '.join(BASELINES)}")
+    more = {"m": F.lit(cfg.fluss_m)} if name == "fluss" else {}
+    return (baseline_segments(ticks, track, value, name, cfg)
+            .withColumn("params", paramset(name, n_regions=F.col("n_regions"), **more)).drop("n_regions"))
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def boundaries(ts: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([fluss_boundaries(np.asarray(x), m, int(k)) for x, k in zip(ts, n)])
 
-    return (track_series(ticks, track, value)
-            .withColumn("n_regions", F.explode(F.array(*[F.lit(v) for v in cfg.n_regions])))
-            .withColumn("starts", boundaries("ts", "n_regions"))
-            .select(track, "n_regions", F.concat(F.array(F.lit(0).cast("long")), "starts").alias("starts"),
-                    F.size("ts").cast("long").alias("n_ticks")))
+def baseline_split(ticks: DataFrame, track: str, method: str, n_regions: tuple[int, ...]) -> DataFrame:
+    """Number segments by a data-independent baseline, once per value of ``n_regions``; other columns are kept."""
+    lengths = ticks.groupBy(track).agg((F.max("t") + 1).alias("_len"))
+    n, length = F.col("n_regions"), F.col("_len")
+    inside = F.array_distinct(F.filter(_drawn(method, length, n, F.col(track)), lambda b: (b > 0) & (b < length)))
+    # boundaries are a property of the track: found once per track, then joined to its ticks
+    bounds = (lengths.withColumn("n_regions", F.explode(F.array(*[F.lit(v) for v in n_regions])))
+              .select(track, F.struct("n_regions", inside.alias("at")).alias("_b"))
+              .groupBy(track).agg(F.collect_list("_b").alias("_bs")))
+    return (ticks.join(bounds, track).withColumn("_b", F.explode("_bs"))
+            .withColumn("n_regions", F.col("_b.n_regions"))
+            .withColumn("seg_ord", F.size(F.filter("_b.at", lambda b: b <= F.col("t"))).cast("long"))
+            .drop("_bs", "_b"))
+
+
+def fluss_split(ticks: DataFrame, track: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Segment starts of every track by the corrected arc curve, per number of regions."""
+    found = region_starts(track_series(ticks, track, value), track, "fluss", cfg)
+    return found.select(track, "n_regions", "starts", "n_ticks")
 
 
 def segments(numbered: DataFrame, track: str, value: str, *by: str) -> DataFrame:

@@ -11,6 +11,8 @@ from seqloom.operators import segmentation as G
 from seqloom.operators.evaluation import similarity_statistics as relation_statistics
 from seqloom.operators.graph import dense_ids
 from seqloom.operators.ordered import index_sequence, running
+from seqloom.operators.regimes import arc_curve as regime_curve
+from seqloom.operators.regimes import matrix_profile
 from seqloom.operators.similarity import find_similar, find_similar_fromidx, pair_distances
 from seqloom.plans import pipeline as L
 from seqloom.plans import sql_parts as Q
@@ -32,10 +34,8 @@ def novelty_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _baseline(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        numbered = G.baseline_split(L.tick_frame(spark, sf_dir), TRACK, method, DEFAULT.n_regions)
-        s = G.segments(numbered, TRACK, "v", "n_regions")
-        return s.select(G.paramset(method, n_regions=F.col("n_regions")).alias("params"), TRACK, "seg_ord",
-                        "t0", "t1", S.pattern_string(F.col("ts")).alias("pattern"))
+        s = G.segment_by(method, L.tick_frame(spark, sf_dir), TRACK, "v")
+        return s.select("params", TRACK, "seg_ord", "t0", "t1", S.pattern_string(F.col("ts")).alias("pattern"))
     return run
 
 
@@ -45,6 +45,14 @@ def fluss_split(spark: SparkSession, sf_dir: str) -> DataFrame:
                     TRACK, "starts", "n_ticks")
 
 
+def arc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrected arc curve of every track, with the neighbour of each subsequence."""
+    profile = L.stored(matrix_profile(L.tick_frame(spark, sf_dir), TRACK, "v", DEFAULT.fluss_m))
+    curve = regime_curve(profile, TRACK, DEFAULT.fluss_m)
+    return (profile.join(curve, [TRACK, "t"])
+            .select(TRACK, "t", "nn", F.round("d2", 6).alias("d2"), "crossing", F.round("cac", 9).alias("cac")))
+
+
 def split_at_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit split times, unsorted and repeated: the quarters of every track."""
     ticks = L.tick_frame(spark, sf_dir)
@@ -156,6 +164,8 @@ QUERIES = {
     "random_split": _baseline("random_split"),
     "quasirandom_split": _baseline("quasirandom_split"),
     "fluss_split": fluss_split,
+    "fluss_segments": _baseline("fluss"),
+    "arc_curve": arc_curve,
     "split_at_times": split_at_quarters,
     "resampled_segments": resampled_segments,
     "structure_statistics": structure_statistics,
@@ -179,7 +189,16 @@ QUERIES = {
 }
 
 
-def _split_sql(method: str, bounds: str) -> str:
+BOUNDS = {
+    "uniform_split": "list_transform(range(1, k), lambda r: CAST(ceil(r * n / CAST(k AS DOUBLE)) AS BIGINT))",
+    "random_split": """list_transform(range(1, k), lambda r:
+          CAST('0x' || substr(md5('0:' || user_id || ':' || r), 1, 8) AS BIGINT) % n)""",
+    "quasirandom_split": """list_transform(range(1, k), lambda r: CAST(floor(
+          (r * 0.6180339887498949::DOUBLE - floor(r * 0.6180339887498949::DOUBLE)) * n) AS BIGINT))""",
+}
+
+
+def _split_sql(bounds: str) -> str:
     return query(Q.SPANS, f"""
         , len AS (SELECT user_id, max(t) + 1 AS n FROM ticks GROUP BY user_id),
         b AS (SELECT user_id, k, n, list_distinct(list_filter({bounds}, lambda x: x > 0 AND x < n)) AS b
@@ -192,6 +211,43 @@ def _split_sql(method: str, bounds: str) -> str:
         FROM g GROUP BY k, user_id, seg_ord""")
 
 
+# matrix profile, arc curve and its deepest minima for m = 3: sums of whole numbers, one root per pair
+FLUSS = Q.SPANS + """,
+wn AS MATERIALIZED (
+  SELECT user_id, t, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c,
+         3.0 * (a * a + b * b + c * c) - (a + b + c) * (a + b + c) AS var
+  FROM (SELECT user_id, t, profile_d AS a, lead(profile_d) OVER w AS b, lead(profile_d, 2) OVER w AS c
+        FROM ticks WINDOW w AS (PARTITION BY user_id ORDER BY t)) WHERE c IS NOT NULL),
+ds AS (SELECT p.user_id, p.t, q.t AS nn,
+              round(CASE WHEN p.var = 0 AND q.var = 0 THEN 0 WHEN p.var = 0 OR q.var = 0 THEN 3
+                    ELSE 6 * (1 - (3.0 * (p.a * q.a + p.b * q.b + p.c * q.c) - (p.a + p.b + p.c) * (q.a + q.b + q.c))
+                              / sqrt(p.var * q.var)) END, 9) AS d2
+       FROM wn p JOIN wn q ON q.user_id = p.user_id AND abs(p.t - q.t) > 1),
+mp AS MATERIALIZED (SELECT user_id, t, m.nn AS nn, m.d2 AS d2 FROM (
+        SELECT wn.user_id, wn.t, min(struct_pack(d2 := d2, nn := nn)) AS m FROM wn LEFT JOIN ds
+          ON ds.user_id = wn.user_id AND ds.t = wn.t GROUP BY ALL)),
+st AS (SELECT user_id, t, 0 AS s FROM mp UNION ALL SELECT user_id, least(t, nn), 1 FROM mp WHERE nn IS NOT NULL
+       UNION ALL SELECT user_id, greatest(t, nn), -1 FROM mp WHERE nn IS NOT NULL),
+cr AS (SELECT user_id, t, CAST(sum(sum(s)) OVER (PARTITION BY user_id ORDER BY t) AS BIGINT) AS crossing,
+              max(t) OVER (PARTITION BY user_id) + 1 AS n FROM st GROUP BY user_id, t),
+cac AS MATERIALIZED (
+  SELECT user_id, t, crossing, CASE WHEN t < 15 OR t >= n - 15 OR t = 0 THEN 1.0 ELSE
+         least(crossing / (CAST(2 AS DOUBLE) * t * (n - t) / n), 1.0) END AS cac FROM cr)
+"""
+PICKS = """,
+pk(user_id, k, picks) AS (
+  SELECT DISTINCT user_id, 0, CAST([] AS BIGINT[]) FROM ticks
+  UNION ALL
+  SELECT pk.user_id, k + 1, list_append(any_value(picks), min(struct_pack(c := cac, t := t)).t)
+  FROM pk JOIN cac ON cac.user_id = pk.user_id
+  WHERE cac.cac < 1 AND k < 13 AND len(list_filter(picks, lambda q: abs(q - t) <= 15)) = 0 GROUP BY pk.user_id, k),
+fl AS (
+  SELECT n.user_id, r, n_ticks, list_sort(list_prepend(CAST(0 AS BIGINT), pk.picks[1:r - 1])) AS starts
+  FROM (SELECT user_id, max(t) + 1 AS n_ticks FROM ticks GROUP BY user_id) n
+  JOIN (SELECT user_id, max_by(picks, k) AS picks FROM pk GROUP BY user_id) pk USING (user_id),
+       (SELECT unnest([10, 11, 12, 13, 14]) AS r))
+"""
+
 # pairs of consecutive segments, and the recurrence of an elastic distance over them:
 # one row per anti-diagonal, the values of the two latest kept as lists over the first index
 PAIRS = Q.SEGMENTS + """,
@@ -263,14 +319,17 @@ SQL = {
         SELECT user_id, t, novelty, smooth, threshold, is_peak FROM pk"""),
     "novelty_segments": query(Q.SEGMENTS, """
         SELECT user_id, seg_ord, t0, t1, array_to_string(ts, '_') AS pattern FROM segments"""),
-    "uniform_split": _split_sql("uniform_split", """
-        list_transform(range(1, k), lambda r: CAST(ceil(r * n / CAST(k AS DOUBLE)) AS BIGINT))"""),
-    "random_split": _split_sql("random_split", """
-        list_transform(range(1, k), lambda r:
-          CAST('0x' || substr(md5('0:' || user_id || ':' || r), 1, 8) AS BIGINT) % n)"""),
-    "quasirandom_split": _split_sql("quasirandom_split", """
-        list_transform(range(1, k), lambda r: CAST(floor(
-          (r * 0.6180339887498949::DOUBLE - floor(r * 0.6180339887498949::DOUBLE)) * n) AS BIGINT))"""),
+    **{name: _split_sql(bounds) for name, bounds in BOUNDS.items()},
+    "arc_curve": query(FLUSS, """
+        SELECT user_id, t, nn, round(d2, 6) AS d2, crossing, round(cac, 9) AS cac FROM mp JOIN cac USING (user_id, t)"""),
+    "fluss_split": recursive(FLUSS + PICKS, """
+        SELECT 'n_regions%' || r || '__m%3' AS params, user_id, starts, n_ticks FROM fl"""),
+    "fluss_segments": recursive(FLUSS + PICKS, """
+        , sg AS (SELECT user_id, r, n_ticks, starts, unnest(range(0, len(starts))) AS seg_ord FROM fl),
+        se AS (SELECT *, starts[seg_ord + 1] AS t0, coalesce(starts[seg_ord + 2], n_ticks) AS t1 FROM sg)
+        SELECT 'n_regions%' || r || '__m%3' AS params, se.user_id, seg_ord, t0, t1,
+               string_agg(profile_d, '_' ORDER BY t) AS pattern
+        FROM se JOIN ticks ON ticks.user_id = se.user_id AND t >= t0 AND t < t1 GROUP BY ALL"""),
     "split_at_times": query(Q.SPANS, """
         , len AS (SELECT user_id, max(t) + 1 AS n FROM ticks GROUP BY user_id),
         g AS (SELECT user_id, t, profile_d,
