@@ -18,7 +18,7 @@ from seqloom.config import DEFAULT, Config
 from seqloom.session import parallelism
 
 #: Positions of a block, and cells of a tile that are in memory at once.
-BLOCK, CELLS = 4096, 2_000_000
+BLOCK, CELLS = 4096, 262_144
 #: Distances are rounded, so that neighbours tie alike whatever the order of summation.
 DIGITS = 9
 
@@ -48,18 +48,33 @@ def nearest_in_tile(a: np.ndarray, b: np.ndarray, first_a: int, first_b: int, m:
     best_b, at_b = np.full(len(ub), np.inf), np.zeros(len(ub), dtype=np.int64)
     zone = max(1, m // 2)
     close = pa_[-1] + zone >= pb[0] and pb[-1] + zone >= pa_[0]
-    rows = max(1, CELLS // len(ub))
+    rows, wide = max(1, CELLS // len(ub)), len(ub)
+    # a rounded distance and a position in one exact double: its minimum is the nearest with the smallest position
+    unit = 10.0 ** DIGITS
+    if 2.0 * m * unit * max(rows, wide) >= 2.0 ** 53:
+        raise ValueError(f"subsequences of {m} ticks are too long")
+    columns = np.arange(wide, dtype=float)
+    # norm + norm - 2 products, scaled, as one product
+    left = np.column_stack([ua * (-2.0 * m * unit), na * unit, np.ones(len(ua))])
+    right = np.column_stack([ub, np.ones(wide), nb * unit]).T
     for lo in range(0, len(ua), rows):
         part = slice(lo, lo + rows)
-        d = np.round(na[part, None] + nb[None, :] - 2.0 * m * (ua[part] @ ub.T), DIGITS)
+        d = left[part] @ right
+        np.rint(d, out=d)
         if close:
             d[np.abs(pa_[part, None] - pb[None, :]) <= zone] = np.inf
-        j = d.argmin(axis=1)
-        best_a[part], at_a[part] = d[np.arange(len(d)), j], pb[j]
-        i = d.argmin(axis=0)
-        down = d[i, np.arange(d.shape[1])]
-        nearer = down < best_b  # earlier rows win ties
-        best_b[nearer], at_b[nearer] = down[nearer], pa_[lo + i[nearer]]
+        high = len(d)
+        across = (d * wide + columns).min(axis=1)
+        some = np.isfinite(across)
+        value = np.floor(across[some] / wide)
+        best_a[part][some], at_a[part][some] = value / unit, pb[(across[some] - value * wide).astype(np.int64)]
+        d *= high
+        d += np.arange(high, dtype=float)[:, None]
+        down = d.min(axis=0)
+        value = np.floor(down / high)
+        nearer = value / unit < best_b  # earlier rows win ties
+        best_b[nearer] = value[nearer] / unit
+        at_b[nearer] = pa_[lo + (down[nearer] - value[nearer] * high).astype(np.int64)]
     return best_a, at_a, best_b, at_b
 
 
