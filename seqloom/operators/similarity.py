@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ from seqloom.session import ensure_checkpoint_dir
 FEATURES = ("f_first", "f_last", "f_max", "f_min")
 CELL_TARGETS = 20_000  # targets of one grid cell that share a join key
 BLOCK = 32  # series of one block
-KEY_BLOCKS = 64  # target blocks of one grid cell that share a join key
+KEY_BLOCKS = 64  # target (or source) blocks of one grid cell that share a join key
 
 
 def features(df: DataFrame, series: str) -> DataFrame:
@@ -117,17 +118,35 @@ def unpacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _leaves(column: pa.Array) -> list[pa.Array]:
+    """The plain columns of a column of ids, which may be structs."""
+    if pa.types.is_struct(column.type):
+        return [x for part in column.flatten() for x in _leaves(part)]
+    return [column]
+
+
+def k_best(source: np.ndarray, distance: np.ndarray, group: pa.Array, k: int) -> np.ndarray:
+    """Which hits are among the ``k`` of smallest (distance, group) of their source, in any order."""
+    keys = {f"g{i}": c for i, c in enumerate(_leaves(group))}
+    table = pa.table({"s": pa.array(source), "d": pa.array(distance), **keys})
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in table.column_names]).to_numpy()
+    sorted_source = source[order]
+    first = np.maximum.accumulate(np.where(np.diff(sorted_source, prepend=-1) != 0, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - first < k]
+
+
 def within_radius(sources: DataFrame, targets: DataFrame, radius: float,
-                  by: tuple[str, ...] = ()) -> DataFrame:
-    """All ``(source, group, distance)`` with a DTW of at most the radius.
+                  by: tuple[str, ...] = (), k: int | None = None) -> DataFrame:
+    """``(source, group, distance)`` with a DTW of at most the radius; with ``k``, all that may be among the k nearest.
 
     ``sources(source, sx)`` and ``targets(group, tx)`` have series of one common length. The
     rows of a grid cell are packed into blocks of some ``BLOCK`` series, and blocks are joined
     on the cell: the kernel receives two small blocks per row, tests all their pairs against the
-    bounds and returns only the hits, so pairs never exist as rows. Block numbers come from
-    hashed ids and the size of the cell, which keeps every block small however full the cell is;
-    a cell with many target blocks is spread over several join keys. Columns ``by`` of both
-    sides have to be equal, too.
+    bounds and returns only the hits, so pairs never exist as rows. Of the hits of a source in one
+    batch of blocks only the ``k`` nearest leave the kernel (ties to the lower group), however dense
+    its surroundings are. Block numbers come from hashed ids and the size of the cell, which keeps
+    every block small however full the cell is; a cell with many blocks of targets or of sources is
+    spread over several join keys. Columns ``by`` of both sides have to be equal, too.
     """
     grid = [f"_c{i}" for i in range(len(FEATURES))]
     cells = [*by, *grid]
@@ -144,14 +163,19 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius: float,
         return rows.groupBy(*cells, "_n", "_part").agg(
             F.collect_list(key).alias(ids), F.collect_list(series).alias(series))
 
-    tb = blocks(t, "group", "tx", "gids").withColumn("_key", F.floor(F.col("_part") / KEY_BLOCKS).cast("int"))
+    def spread(rows: DataFrame, own: str, other: str, others: DataFrame) -> DataFrame:
+        """Rows with their own key of the cell, once for every key of the other side."""
+        keys = others.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / (BLOCK * KEY_BLOCKS)).cast("int").alias("_keys"))
+        return (rows.withColumn(own, F.floor(F.col("_part") / KEY_BLOCKS).cast("int")).join(keys, cells)
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col("_keys") - 1))))
+
     # the sources of cells without targets leave early
-    keys = t.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / (BLOCK * KEY_BLOCKS)).cast("int").alias("_keys"))
-    sb = (blocks(s.join(keys.select(*cells), cells, "left_semi"), "source", "sx", "sids").join(keys, cells)
-          .withColumn("_key", F.explode(F.sequence(F.lit(0), F.col("_keys") - 1))))
-    joined = (sb.select(*cells, "_key", "sids", "sx")
-              .join(tb.select(*cells, "_key", "gids", "tx"), [*cells, "_key"])
-              .select("sids", "sx", "gids", "tx"))
+    s = s.join(t.select(*cells).distinct(), cells, "left_semi")
+    tb = spread(blocks(t, "group", "tx", "gids"), "_tkey", "_skey", s)
+    sb = spread(blocks(s, "source", "sx", "sids"), "_skey", "_tkey", t).withColumn("block", F.xxhash64(*cells, "_part"))
+    joined = (sb.select(*cells, "_skey", "_tkey", "block", "sids", "sx")
+              .join(tb.select(*cells, "_skey", "_tkey", "gids", "tx"), [*cells, "_skey", "_tkey"])
+              .select("block", "sids", "sx", "gids", "tx"))
     schema = T.StructType([T.StructField("source", s.schema["source"].dataType),
                            T.StructField("group", t.schema["group"].dataType),
                            T.StructField("distance", T.DoubleType())])
@@ -162,10 +186,19 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius: float,
                 continue
             sids, gids = b.column("sids"), b.column("gids")
             a, c = unpacked(b.column("sx").flatten()), unpacked(b.column("tx").flatten())
-            ia, ic, d = kernels.block_hits(a, c, sids.value_lengths().to_numpy(), gids.value_lengths().to_numpy(), radius)
+            sizes = sids.value_lengths().to_numpy()
+            ia, ic, d = kernels.block_hits(a, c, sizes, gids.value_lengths().to_numpy(), radius)
+            groups = gids.flatten().take(pa.array(ic))
+            if k is not None and len(ia):
+                # a block comes with several blocks of targets: its rows are the same sources each time
+                _, which = np.unique(b.column("block").to_numpy(), return_inverse=True)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                source = which[row[ia]].astype(np.int64) * (int(sizes.max()) + 1) + place[ia]
+                keep = k_best(source, d, groups, k)
+                ia, d, groups = ia[keep], d[keep], groups.take(pa.array(keep))
             yield pa.RecordBatch.from_arrays(
-                [sids.flatten().take(pa.array(ia)), gids.flatten().take(pa.array(ic)), pa.array(d)],
-                names=["source", "group", "distance"])
+                [sids.flatten().take(pa.array(ia)), groups, pa.array(d)], names=["source", "group", "distance"])
 
     return joined.mapInArrow(run, schema)
 
@@ -198,7 +231,7 @@ def nearest_within(sources: DataFrame, targets: DataFrame, k: int, threshold: fl
     done = None
     for radius in radii:
         last = radius == radii[-1]
-        hits = within_radius(sources, targets, radius, by)
+        hits = within_radius(sources, targets, radius, by, k)
         found = _nearest(hits, groups, k)
         if last:
             return found if done is None else done.unionByName(found)

@@ -93,3 +93,20 @@ def test_find_similar(spark, metric):
         assert (80, 0.0) in got
     with pytest.raises(Exception, match="no series has the id 99"):
         S.find_similar_fromidx(99, df, 3, 1.0, metric).collect()
+
+
+@pytest.mark.parametrize("ids", ["long", "struct<track: string, seg_ord: long>"])
+def test_a_dense_cluster_leaves_the_kernel_cut_to_k(spark, monkeypatch, ids):
+    """Hundreds of series within the radius of each other: of each source k hits leave per batch, not all."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "KEY_BLOCKS", 4)
+    rnd = random.Random(17)
+    x = [[rnd.choice([3.0, 3.25, 3.5]) for _ in range(6)] for _ in range(400)]
+    name = (lambda i: i) if ids == "long" else (lambda i: (f"t{i % 7}", i))
+    t = spark.createDataFrame([(name(i), s) for i, s in enumerate(x)], f"group {ids}, tx array<double>")
+    s = spark.createDataFrame([(name(i), s) for i, s in enumerate(x)], f"source {ids}, sx array<double>")
+    every = S.within_radius(s, t, 2.0).collect()
+    cut = S.within_radius(s, t, 2.0, k=5).collect()
+    assert len(every) > 100_000 and len(cut) < len(every) / 5
+    best = lambda rows: {q: sorted((r.distance, r.group) for r in rows if r.source == q)[:5] for q in {r.source for r in rows}}
+    assert best(cut) == best(every)
