@@ -88,3 +88,8 @@ def rename_all(col: Column, mapping: dict[str, str]) -> Column:
     for old, new in mapping.items():
         col = F.replace(col, F.lit(old), F.lit(new))
     return col
+
+
+def flatten(nested: Column) -> Column:
+    """The elements of an array of arrays one after the other; null parts have none."""
+    return F.flatten(F.filter(nested, lambda part: part.isNotNull()))

@@ -210,6 +210,44 @@ def traverse(g: Graph, title: str, hops: int = 2) -> DataFrame:
     return seen
 
 
+def shortest_chains(g: Graph, title: str, hops: int = 3) -> DataFrame:
+    """New progressions: for every segment that `traverse` reaches one shortest chain of segments with its links.
+
+    (track, seg_ord, hops, chain, links): ``chain`` goes from a first segment of the title to the segment, ``links``
+    names its steps, ``next`` or ``similar``. Of several chains of the least length, each segment keeps the
+    predecessor with the lowest (track, seg_ord), and ``next`` before ``similar``.
+    """
+    seg = g.segments.select("track", "seg_ord", "pattern")
+    w = Window.partitionBy("track").orderBy("seg_ord")
+    nxt = seg.select("track", "seg_ord", F.lead("seg_ord").over(w).alias("n_ord"))
+    sim = g.similar.select("pattern1", "pattern2").distinct()
+    here = F.struct("track", "seg_ord")
+    level = (seg.filter(F.col("seg_ord") == 0).join(_of(g, title=title), "track", "left_semi")
+             .select("track", "seg_ord", F.lit(0).alias("hops"), F.array(here).alias("chain"),
+                     F.array().cast("array<string>").alias("links")))
+    ensure_checkpoint_dir(seg.sparkSession)
+    seen = level = level.checkpoint()
+    for hop in range(1, hops + 1):
+        step = lambda kind: F.struct(F.col("prev.track").alias("track"), F.col("prev.seg_ord").alias("seg_ord"),
+                                     F.lit(kind).alias("link")).alias("prev")
+        temporal = (level.join(nxt, ["track", "seg_ord"]).filter(F.col("n_ord").isNotNull()).withColumn("prev", here)
+                    .select("track", F.col("n_ord").alias("seg_ord"), step("next")))
+        # the lowest predecessor of a pattern is found before its segments are joined, so hot patterns add no rows
+        by_pattern = (level.join(seg, ["track", "seg_ord"]).groupBy(F.col("pattern").alias("pattern1"))
+                      .agg(F.min(here).alias("prev")).join(sim, "pattern1")
+                      .groupBy(F.col("pattern2").alias("pattern")).agg(F.min("prev").alias("prev")))
+        similar = seg.join(by_pattern, "pattern").select("track", "seg_ord", step("similar"))
+        found = (temporal.unionByName(similar).groupBy("track", "seg_ord").agg(F.min("prev").alias("prev"))
+                 .join(seen, ["track", "seg_ord"], "left_anti"))
+        before = level.select(F.col("track").alias("_t"), F.col("seg_ord").alias("_o"), F.col("chain").alias("_c"),
+                              F.col("links").alias("_l"))
+        level = (found.join(before, (F.col("prev.track") == F.col("_t")) & (F.col("prev.seg_ord") == F.col("_o")))
+                 .select("track", "seg_ord", F.lit(hop).alias("hops"), F.array_append("_c", here).alias("chain"),
+                         F.array_append("_l", F.col("prev.link")).alias("links")).checkpoint())
+        seen = seen.unionByName(level)
+    return seen
+
+
 BASE = "urn:seqloom:"
 
 

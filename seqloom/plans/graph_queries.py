@@ -16,6 +16,7 @@ from seqloom.sources.tables import TRACK, metadata
 TITLE, OTHER_TITLE, CHORD = "small ring", "red widget", "E:maj"
 ARTIST, GENRE, OTHER_ARTIST = "Brand#2", "MEDIUM", "Brand#17"
 CHORDS = ("Db:maj", "N", "N")
+HOPS = 3
 
 _STORES: dict[tuple[str, str], K.Graph] = {}
 
@@ -70,6 +71,14 @@ def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tracks_of_pattern(g, K.top_pattern(g))
 
 
+def graph_progressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shortest chain of segments to everything within three links of a title."""
+    found = K.shortest_chains(graph(spark, sf_dir), TITLE, HOPS)
+    name = lambda x: F.concat_ws(":", x["track"].cast("string"), x["seg_ord"].cast("string"))
+    return found.select("track", "seg_ord", "hops", F.array_join(F.transform("chain", name), ">").alias("chain"),
+                        F.array_join("links", ",").alias("links"))
+
+
 QUERIES = {
     "graph_segments": graph_segments,
     "graph_next": graph_next,
@@ -86,6 +95,7 @@ QUERIES = {
     "graph_p8_close_same_order": lambda s, d: K.close_tracks(graph(s, d), TITLE, 0.2, True),
     "graph_p9_close_any_order": lambda s, d: K.close_tracks(graph(s, d), TITLE, 0.5, False),
     "graph_traverse": lambda s, d: K.traverse(graph(s, d), TITLE),
+    "graph_progressions": graph_progressions,
 }
 
 TABLES = """,
@@ -161,7 +171,31 @@ def _close(below: float, on_order: str) -> str:
         ORDER BY value, track1, track2, pattern1, pattern2 LIMIT 30""")
 
 
+def _levels(hops: int) -> str:
+    """Breadth-first levels l0, l1, ... with one chain per segment; each level leaves out the earlier ones."""
+    out = [f"""
+        l0 AS MATERIALIZED (SELECT track, seg_ord, 0 AS hops, track || ':' || seg_ord AS chain, '' AS links
+               FROM seg JOIN meta USING (track) WHERE title = '{TITLE}' AND seg_ord = 0)"""]
+    for h in range(1, hops + 1):
+        earlier = " UNION ALL ".join(f"SELECT track, seg_ord FROM l{i}" for i in range(h))
+        out.append(f"""
+        s{h} AS MATERIALIZED (SELECT k.track2 AS track, k.ord2 AS seg_ord,
+                      min(struct_pack(track := p.track, seg_ord := p.seg_ord, link := k.link)) AS prev
+               FROM l{h - 1} p JOIN links k ON k.track = p.track AND k.seg_ord = p.seg_ord
+               WHERE (k.track2, k.ord2) NOT IN ({earlier}) GROUP BY ALL),
+        l{h} AS MATERIALIZED (SELECT s.track, s.seg_ord, {h} AS hops, p.chain || '>' || s.track || ':' || s.seg_ord AS chain,
+                      p.links || CASE WHEN p.links = '' THEN '' ELSE ',' END || s.prev.link AS links
+               FROM s{h} s JOIN l{h - 1} p ON p.track = s.prev.track AND p.seg_ord = s.prev.seg_ord)""")
+    return ",".join(out)
+
+
 SQL = {
+    "graph_progressions": recursive(LINKED, f"""
+        , links AS MATERIALIZED (
+          SELECT track, seg_ord, track AS track2, next_ord AS ord2, 'next' AS link FROM nxt
+          UNION SELECT s.track, s.seg_ord, o.track, o.seg_ord, 'similar' FROM seg s JOIN simil ON pattern1 = s.pattern
+                JOIN seg o ON o.pattern = pattern2), {_levels(HOPS)}
+        {" UNION ALL ".join(f"SELECT * FROM l{h}" for h in range(HOPS + 1))}"""),
     "graph_segments": query(PLAIN, "SELECT * FROM seg"),
     "graph_next": query(PLAIN, "SELECT track, seg_ord, uri, next_ord, next_uri FROM nxt"),
     "graph_chords": query(PLAIN, "SELECT * FROM chords"),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.config import DEFAULT
+from seqloom.functions import checks
 from seqloom.functions import series as S
 from seqloom.operators import segmentation as G
 from seqloom.operators.evaluation import similarity_statistics as relation_statistics
 from seqloom.operators.graph import dense_ids
-from seqloom.operators.ordered import index_sequence, running
+from seqloom.operators.progressions import concat_chords, concat_series
 from seqloom.operators.regimes import arc_curve as regime_curve
 from seqloom.operators.regimes import matrix_profile
 from seqloom.operators.similarity import find_similar, find_similar_fromidx, pair_distances
@@ -18,7 +19,8 @@ from seqloom.plans import pipeline as L
 from seqloom.plans import sql_parts as Q
 from seqloom.plans.sql_parts import query, recursive
 from seqloom.session import table
-from seqloom.sources.tables import TRACK, metadata
+from seqloom.sources import store
+from seqloom.sources.tables import TABLES, TRACK, chord_sequence, metadata
 
 
 def novelty_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +126,75 @@ def min_area_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(TRACK, "seg_ord", F.round(S.min_area(F.col("a"), F.col("b")), 6).alias("distance"))
 
 
+def _artist_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The numbered ticks, and the segments of every artist."""
+    numbered = L.stored(L.numbered_ticks(spark, sf_dir))
+    segs = (numbered.groupBy(TRACK, "seg_ord").agg(F.min("t").alias("t0"), (F.max("t") + 1).alias("t1"))
+            .join(metadata(spark, sf_dir).select(TRACK, "artist"), TRACK))
+    return numbered, segs
+
+
 def progression_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stitch the first segments of the tracks of one artist into a progression per artist.
+    """All segments of an artist's tracks stitched into one progression: chords, keys and rebased times."""
+    numbered, segs = _artist_parts(spark, sf_dir)
+    return concat_chords(segs, G.segment_chords(numbered, TRACK), "artist", TRACK)
+
+
+def progression_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of the same progressions, tick by tick."""
+    numbered, segs = _artist_parts(spark, sf_dir)
+    return concat_series(segs, numbered.select(TRACK, "seg_ord", "t", "v"), "artist", TRACK, "v")
+
+
+def edge_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity edges as an edge list by pattern ids would give them back: written to files and read again."""
+    segs = L.stored(L.segment_frame(spark, sf_dir))
+    path = L.scratch(spark, "edge-list")
+    ids = dense_ids(segs.select(TRACK, "seg_ord"), (TRACK, "seg_ord"), "pattern_id")
+    store.write_edge_list(L.edge_frame(segs), ids, path, TRACK)
+    return store.read_edge_list(spark, path, TRACK)
+
+
+def segment_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all splitters' segments, of which one set is opened by its name."""
+    path = L.scratch(spark, "segment-store")
+    ticks = L.stored(L.tick_frame(spark, sf_dir))
+    for method in ("novelty", *G.BASELINES):
+        found = L.stored(G.segment_by(method, ticks, TRACK, "v"))
+        for r in found.select("params").distinct().collect():  # one row per parameter set
+            store.write_segment_set(found.where(F.col("params") == r.params), path, method, r.params, "events", TRACK,
+                                    TABLES.sample_seconds)
+    s = store.open_segments(spark, path, "fluss", f"n_regions%12__m%{DEFAULT.fluss_m}")
+    return s.select(TRACK, "seg_ord", "t0", "t1", S.pattern_string(F.col("ts")).alias("pattern"))
+
 
-    Onsets are rebased by the running duration of the segments before.
-    """
-    first = (L.segment_frame(spark, sf_dir).filter(F.col("seg_ord") == 0)
-             .select(TRACK, F.size("ts").cast("long").alias("n_ticks")))
-    parts = first.join(metadata(spark, sf_dir), TRACK).select("artist", TRACK, "n_ticks")
-    seq = running(index_sequence(parts, ("artist",), (TRACK,)), {"t_end": ("sum", "n_ticks")})
-    return seq.df.select("artist", "pos", TRACK, (F.col("t_end") - F.col("n_ticks")).alias("t_start"), "t_end")
+def track_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords, set keys and days of every track as arrays; a track has fewer keys than chords."""
+    seq = chord_sequence(spark, sf_dir)
+    row = F.struct("pos", "chord", "key_annotation", "micros")
+    return (seq.df.groupBy(TRACK).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+            .select(TRACK, F.transform("_r", lambda r: r["chord"]).alias("chords"),
+                    F.filter(F.transform("_r", lambda r: r["key_annotation"]), lambda k: k.isNotNull()).alias("keys"),
+                    F.transform("_r", lambda r: F.floor(r["micros"] / F.lit(86_400_000_000))).alias("days")))
+
+
+def truncated_progressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords and days cut to the number of keys, checked to be of one length, and as one flat list."""
+    cut = checks.truncated(track_arrays(spark, sf_dir), "chords", "keys", "days")
+    ok = checks.require(cut, {"equal lengths": checks.equal_lengths("chords", "keys", "days"),
+                              "days in order": checks.ascending("days")}, TRACK)
+    flat = S.flatten(F.array("keys", F.lit(None).cast("array<string>"), "chords"))
+    return ok.select(TRACK, F.size("keys").cast("long").alias("n"), F.array_join(flat, ",").alias("flat"),
+                     F.array_join(F.transform("days", lambda d: d.cast("string")), ",").alias("days"))
+
+
+def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tracks fail which of the declared checks."""
+    return checks.report(track_arrays(spark, sf_dir), {
+        "equal lengths": checks.equal_lengths("chords", "keys", "days"),
+        "has a key": F.size("keys") > 0,
+        "begins with a chord": F.get("chords", F.lit(0)) != "N",
+        "days in order": checks.ascending("days")}, TRACK)
 
 
 def embedding_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +241,11 @@ QUERIES = {
     "ctw_next": _next_distance("ctw"),
     "min_area_next": min_area_next,
     "progression_concat": progression_concat,
+    "progression_series": progression_series,
+    "edge_list_round_trip": edge_list_round_trip,
+    "segment_store": segment_store,
+    "truncated_progressions": truncated_progressions,
+    "check_report": check_report,
     "find_similar": find_similar_series("dtw"),
     "find_similar_fromidx": find_similar_to_member("dtw"),
     "find_similar_euclidean": find_similar_series("euclidean"),
@@ -314,6 +380,18 @@ def _search_sql(query: str, metric: str, besides: str = "true") -> str:
 SAW = "SELECT list_transform(range(0, 64), lambda i: (i % 8 - CAST(3.5 AS DOUBLE)) / CAST(20 AS DOUBLE)) AS q"
 FIRST = "SELECT ts AS q FROM e WHERE id = 0"
 
+STITCHED = Q.SEGMENTS + """,
+parts AS (SELECT p_brand AS artist, user_id, seg_ord, t0, row_number() OVER w AS pos,
+                 CAST(sum(t1 - t0) OVER w AS BIGINT) - (t1 - t0) AS started
+          FROM segments JOIN part ON p_partkey = user_id WINDOW w AS (PARTITION BY p_brand ORDER BY user_id, seg_ord))
+"""
+ARRAYS = Q.CHORDS + f""",
+arrays AS (SELECT user_id, list(chord ORDER BY pos) AS chords, list(micros // 86400000000 ORDER BY pos) AS days,
+                  coalesce(list({Q.NAMES}[kk % 12 + 1] || CASE WHEN kk % 2 = 0 THEN ':major' ELSE ':minor' END ORDER BY pos)
+                           FILTER (WHERE kk IS NOT NULL), []) AS keys
+           FROM labelled GROUP BY user_id)
+"""
+
 SQL = {
     "novelty_curve": query(Q.SEGMENTS, """
         SELECT user_id, t, novelty, smooth, threshold, is_peak FROM pk"""),
@@ -384,12 +462,34 @@ SQL = {
         SELECT user_id, seg_ord, round(list_min(list_transform(range(0, len(l) - len(s) + 1), lambda k:
           list_sum(list_transform(range(1, len(s) + 1), lambda q: abs(l[k + q] - s[q])))))
           / CAST(len(s) AS DOUBLE), 6) AS distance FROM o"""),
-    "progression_concat": query(Q.SEGMENTS, """
-        , f AS (SELECT p_brand AS artist, user_id, CAST(len(ts) AS BIGINT) AS n_ticks
-                FROM segments JOIN part ON p_partkey = user_id WHERE seg_ord = 0)
-        SELECT artist, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, user_id,
-               CAST(sum(n_ticks) OVER w AS BIGINT) - n_ticks AS t_start, CAST(sum(n_ticks) OVER w AS BIGINT) AS t_end
-        FROM f WINDOW w AS (PARTITION BY artist ORDER BY user_id)"""),
+    "progression_concat": query(STITCHED, """
+        , ch AS (SELECT user_id, seg_ord, min(t) AS start, count(*) AS duration, any_value(chord) AS chord, any_value(key) AS key
+                 FROM numbered GROUP BY user_id, seg_ord, event_pos),
+        pl AS (SELECT *, row_number() OVER (PARTITION BY user_id, seg_ord ORDER BY start) AS i FROM ch),
+        at_ AS (SELECT artist, user_id, seg_ord, chord, key, pos, i, started + start - t0 AS s, duration
+                FROM pl JOIN parts USING (user_id, seg_ord)),
+        mk AS (SELECT *, CASE WHEN i = 1 AND lag(chord) OVER w = chord AND lag(key) OVER w = key THEN 0 ELSE 1 END AS fresh
+               FROM at_ WINDOW w AS (PARTITION BY artist ORDER BY pos, i)),
+        rn AS (SELECT *, sum(fresh) OVER (PARTITION BY artist ORDER BY pos, i) - 1 AS run FROM mk)
+        SELECT artist, CAST(run AS BIGINT) AS pos, first(chord ORDER BY pos, i) AS chord, first(key ORDER BY pos, i) AS key,
+               min(s) AS t_start, CAST(min(s) + sum(duration) AS BIGINT) AS t_end,
+               first(user_id ORDER BY pos, i) AS user_id, first(seg_ord ORDER BY pos, i) AS seg_ord
+        FROM rn GROUP BY artist, run"""),
+    "progression_series": query(STITCHED, """
+        SELECT artist, started + t - t0 AS t, v FROM numbered JOIN parts USING (user_id, seg_ord)"""),
+    "edge_list_round_trip": recursive(Q.EDGES, "SELECT * FROM edges"),
+    "segment_store": recursive(FLUSS + PICKS, """
+        , sg AS (SELECT user_id, n_ticks, starts, unnest(range(0, len(starts))) AS seg_ord FROM fl WHERE r = 12),
+        se AS (SELECT *, starts[seg_ord + 1] AS t0, coalesce(starts[seg_ord + 2], n_ticks) AS t1 FROM sg)
+        SELECT se.user_id, seg_ord, t0, t1, string_agg(profile_d, '_' ORDER BY t) AS pattern
+        FROM se JOIN ticks ON ticks.user_id = se.user_id AND t >= t0 AND t < t1 GROUP BY ALL"""),
+    "truncated_progressions": query(ARRAYS, """
+        SELECT user_id, len(keys) AS n, array_to_string(list_concat(keys, chords[1:len(keys)]), ',') AS flat,
+               array_to_string(days[1:len(keys)], ',') AS days FROM arrays"""),
+    "check_report": query(ARRAYS, """
+        SELECT user_id, 'equal lengths' AS "check" FROM arrays WHERE len(keys) <> len(chords)
+        UNION ALL SELECT user_id, 'has a key' FROM arrays WHERE len(keys) = 0
+        UNION ALL SELECT user_id, 'begins with a chord' FROM arrays WHERE chords[1] = 'N'"""),
     "find_similar": _search_sql(SAW, "dtw"),
     "find_similar_fromidx": _search_sql(FIRST, "dtw", "id <> 0"),
     "find_similar_euclidean": _search_sql(SAW, "euclidean"),
