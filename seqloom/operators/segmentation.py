@@ -9,6 +9,7 @@ peaks, segment numbers and the grouping into segments.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqloom.config import DEFAULT, Config
+from seqloom.functions.checks import report
 from seqloom.operators.regimes import regime_changes
+from seqloom.session import ensure_checkpoint_dir
 
 DIGITS = 9  # curves are rounded so that comparisons do not depend on summation order
 
@@ -224,6 +227,33 @@ def segment_by(name: str, ticks: DataFrame, track: str, value: str, cfg: Config
             .withColumn("params", paramset(name, n_regions=F.col("n_regions"), **more)).drop("n_regions"))
 
 
+def grid_run(ticks: DataFrame, track: str, value: str, cfg: Config = DEFAULT,
+             methods: tuple[str, ...] = BASELINES) -> tuple[DataFrame, DataFrame]:
+    """All parameter sets of the baselines over all tracks: (segments, report).
+
+    ``segments`` has method, params, track, seg_ord, t0, t1, ts. A track that cannot be segmented does not stop the
+    others: ``report`` (track, check) names what is wrong with it, and it has no segments. Both come from one pass
+    over the ticks, which is stored. Ticks are 0..n-1, each once, and their values are not null and finite.
+    """
+    found = F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("_v"))))
+    held = ticks.groupBy(track).agg(found.alias("_r")).select(
+        track, F.transform("_r", lambda r: r["t"]).alias("_t"), F.transform("_r", lambda r: r["_v"]).alias("ts"))
+    ensure_checkpoint_dir(ticks.sparkSession)
+    held = held.checkpoint()
+    number = lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(float("inf")))
+    rules = {"every tick once": F.forall(F.transform("_t", lambda t, i: t.eqNullSafe(i.cast("long"))), lambda ok: ok),
+             "a value at every tick": F.forall("ts", number)}
+    good = reduce(lambda x, y: x & y, rules.values())
+    series = held.where(good).drop("_t")
+    parts = []
+    for method in methods:
+        more = {"m": F.lit(cfg.fluss_m)} if method == "fluss" else {}
+        cut = slices(region_starts(series, track, method, cfg), track, "n_regions")
+        parts.append(cut.select(F.lit(method).alias("method"), paramset(method, n_regions=F.col("n_regions"), **more).alias("params"),
+                                track, "seg_ord", "t0", "t1", "ts"))
+    return reduce(DataFrame.unionByName, parts), report(held, rules, track)
+
+
 def baseline_split(ticks: DataFrame, track: str, method: str, n_regions: tuple[int, ...]) -> DataFrame:
     """Number segments by a data-independent baseline, once per value of ``n_regions``; other columns are kept."""
     lengths = ticks.groupBy(track).agg((F.max("t") + 1).alias("_len"))

@@ -20,7 +20,7 @@ from seqloom.plans import sql_parts as Q
 from seqloom.plans.sql_parts import query, recursive
 from seqloom.session import table
 from seqloom.sources import store
-from seqloom.sources.tables import TABLES, TRACK, chord_sequence, metadata
+from seqloom.sources.tables import TABLES, TRACK, chord_sequence, event_sequence, metadata
 
 
 def novelty_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,24 @@ def arc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(TRACK, "t", "nn", F.round("d2", 6).alias("d2"), "crossing", F.round("cac", 9).alias("cac")))
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as ticks; a small error has no reading, so some users cannot be segmented."""
+    seq = event_sequence(spark, sf_dir, "event_type", "value")
+    lost = (F.col("event_type") == "error") & (F.col("value") < 2)
+    return seq.df.select(TRACK, F.col("pos").alias("t"), F.when(~lost, F.floor("value") % 12).alias("v"))
+
+
+def grid_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two baselines over the users whose readings are whole."""
+    s, _ = G.grid_run(_readings(spark, sf_dir), TRACK, "v", methods=("uniform_split", "quasirandom_split"))
+    return s.select("method", "params", TRACK, "seg_ord", "t0", "t1", S.pattern_string(F.col("ts")).alias("pattern"))
+
+
+def grid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users that the same run leaves out, and why."""
+    return G.grid_run(_readings(spark, sf_dir), TRACK, "v", methods=("uniform_split",))[1]
+
+
 def split_at_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit split times, unsorted and repeated: the quarters of every track."""
     ticks = L.tick_frame(spark, sf_dir)
@@ -227,6 +245,8 @@ QUERIES = {
     "fluss_split": fluss_split,
     "fluss_segments": _baseline("fluss"),
     "arc_curve": arc_curve,
+    "grid_run": grid_run,
+    "grid_report": grid_report,
     "split_at_times": split_at_quarters,
     "resampled_segments": resampled_segments,
     "structure_statistics": structure_statistics,
@@ -380,6 +400,10 @@ def _search_sql(query: str, metric: str, besides: str = "true") -> str:
 SAW = "SELECT list_transform(range(0, 64), lambda i: (i % 8 - CAST(3.5 AS DOUBLE)) / CAST(20 AS DOUBLE)) AS q"
 FIRST = "SELECT ts AS q FROM e WHERE id = 0"
 
+READINGS = Q.MACROS_FREE + """,
+rd AS (SELECT user_id, pos AS t, CASE WHEN NOT (event_type = 'error' AND value < 2)
+                                      THEN CAST(floor(value) AS BIGINT) % 12 END AS v FROM seq)
+"""
 STITCHED = Q.SEGMENTS + """,
 parts AS (SELECT p_brand AS artist, user_id, seg_ord, t0, row_number() OVER w AS pos,
                  CAST(sum(t1 - t0) OVER w AS BIGINT) - (t1 - t0) AS started
@@ -400,6 +424,17 @@ SQL = {
     **{name: _split_sql(bounds) for name, bounds in BOUNDS.items()},
     "arc_curve": query(FLUSS, """
         SELECT user_id, t, nn, round(d2, 6) AS d2, crossing, round(cac, 9) AS cac FROM mp JOIN cac USING (user_id, t)"""),
+    "grid_report": query(READINGS, """
+        SELECT DISTINCT user_id, 'a value at every tick' AS "check" FROM rd WHERE v IS NULL"""),
+    "grid_run": query(READINGS, f"""
+        , len AS (SELECT user_id, count(*) AS n FROM rd GROUP BY user_id HAVING count(*) = count(v)),
+        bd AS ({" UNION ALL ".join(
+            f"SELECT '{m}' AS method, k, user_id, list_distinct(list_filter({BOUNDS[m]}, lambda x: x > 0 AND x < n)) AS b "
+            "FROM len, (SELECT unnest([10, 11, 12, 13, 14]) AS k)" for m in ("uniform_split", "quasirandom_split"))}),
+        g AS (SELECT method, k, user_id, t, v, CAST(len(list_filter(b, lambda x: x <= t)) AS BIGINT) AS seg_ord
+              FROM rd JOIN bd USING (user_id))
+        SELECT method, 'n_regions%' || k AS params, user_id, seg_ord, min(t) AS t0, max(t) + 1 AS t1,
+               string_agg(v, '_' ORDER BY t) AS pattern FROM g GROUP BY method, k, user_id, seg_ord"""),
     "fluss_split": recursive(FLUSS + PICKS, """
         SELECT 'n_regions%' || r || '__m%3' AS params, user_id, starts, n_ticks FROM fl"""),
     "fluss_segments": recursive(FLUSS + PICKS, """

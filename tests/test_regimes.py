@@ -84,3 +84,20 @@ def test_splitters_by_name(ticks, name):
 def test_unknown_splitter(ticks):
     with pytest.raises(ValueError, match="no splitter"):
         G.segment_by("by_ear", ticks, "track", "v")
+
+
+def test_a_bad_track_is_reported_and_the_others_go_on(spark):
+    rows = [("good", t, float(v)) for t, v in enumerate(TRACKS["steps"])]
+    rows += [("hole", t, 1.0) for t in range(40) if t != 7] + [("twice", 0, 1.0), ("twice", 0, 2.0)]
+    rows += [("null", t, None if t == 5 else 1.0) for t in range(40)] + [("nan", 0, float("nan")), ("both", 1, None)]
+    df = spark.createDataFrame(rows, "track string, t long, v double")
+    segs, errors = G.grid_run(df, "track", "v")
+    assert sorted(map(tuple, errors.collect())) == sorted([
+        ("hole", "every tick once"), ("twice", "every tick once"), ("null", "a value at every tick"),
+        ("nan", "a value at every tick"), ("both", "every tick once"), ("both", "a value at every tick")])
+    got = segs.collect()
+    assert {r.track for r in got} == {"good"} and {r.method for r in got} == set(G.BASELINES)
+    for method in G.BASELINES:
+        for params in {r.params for r in got if r.method == method}:
+            mine = sorted((r for r in got if r.method == method and r.params == params), key=lambda r: r.seg_ord)
+            assert sum((list(r.ts) for r in mine), []) == [float(v) for v in TRACKS["steps"]]
