@@ -82,6 +82,14 @@ def filter_bits(prints: np.ndarray) -> np.ndarray:
     return np.stack([(prints + np.uint64(k) * step) & mask for k in range(FILTER_HASHES)])
 
 
+def in_filter(words: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which of the fingerprints the filter (as 64-bit words) may hold."""
+    ok = np.ones(len(prints), dtype=bool)
+    for at in filter_bits(prints):
+        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return ok
+
+
 def _windows(words, hashes, bounds, length, passes):
     """(text number, fingerprint, start in the text, digest) of the windows of ``length`` words that ``passes`` lets."""
     import xxhash
@@ -176,10 +184,7 @@ def document_windows(docs: DataFrame, lengths: list[int], bloom: np.ndarray) ->
         cache, words_of_filter = _WordHashes(), shared.value
 
         def passes(prints):
-            ok = np.ones(len(prints), dtype=bool)
-            for at in filter_bits(prints):
-                ok &= (words_of_filter[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-            return ok
+            return in_filter(words_of_filter, prints)
 
         def rows_of(held):
             words, hashes, bounds = _flat(held, cache)

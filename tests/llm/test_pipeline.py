@@ -129,6 +129,14 @@ def test_one_document_of_each_group_stays(spark, docs, tables):
     assert ids >= {3, 4, 5, 7, 300, None} and not ids & {200, 201, 202, 203, 301, 302}
 
 
+def test_near_duplicates_are_decided_by_row(spark):
+    """An id with several texts keeps them, a text under several ids stays once, copies without an id go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (1, c), (2, c), (None, "nobody's words"), (None, "nobody's words"), (None, b)]
+    got = cp.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA), "")
+    assert rows_of(got) == Counter((i, t, "en", "s", 1) for i, t in [(1, a), (1, b), (1, c), (None, "nobody's words")])
+
+
 def edited():
     """A long group of edited copies, pairs of texts around the limit, and texts that share a frequent passage."""
     rnd = random.Random(11)
