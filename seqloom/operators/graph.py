@@ -251,6 +251,7 @@ def shortest_chains(g: Graph, title: str, hops: int = 3) -> DataFrame:
 BASE = "urn:seqloom:"
 
 
+# The names of classes and properties in the export below.
 def triples(g: Graph) -> DataFrame:
     """The graph as a set of (s, p, o, dtype) rows.
 
