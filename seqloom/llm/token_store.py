@@ -138,33 +138,44 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     tokenizer = tokenizer or default_tokenizer()
     kind = "<u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     end = np.array([end_id], dtype="<u4").tobytes()
+    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
+    id_type = pa.int64() if kind_of_id == "bigint" else pa.int32() if kind_of_id == "int" else pa.string()
     ordered = (docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id")
                .sortWithinPartitions("doc_id", "text"))
 
     def tokenise(batches):
-        shard, use = TaskContext.get().partitionId(), encoder(tokenizer)
+        # the last row of a task holds how often it met each id
+        shard, use, seen = TaskContext.get().partitionId(), encoder(tokenizer), np.zeros(0, dtype=np.int64)
+        names = ["shard", "doc_id", "ids", "seen"]
         for b in small(batches):
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in use.encode(b.column(1).to_pylist(), end)]
+            ids = [np.frombuffer(x, "<u4").astype(kind) for x in use.encode(b.column(1).to_pylist(), end)]
+            got = np.bincount(np.concatenate(ids)) if ids else seen[:0]
+            if len(got) > len(seen):
+                got, seen = seen, got.astype(np.int64)
+            seen[: len(got)] += got
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * len(ids), pa.int32()), b.column(0), pa.array(ids, pa.binary())],
-                names=["shard", "doc_id", "ids"])
+                [pa.array([shard] * len(ids), pa.int32()), b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()),
+                 pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int32()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([seen.tobytes()], pa.binary())],
+            names=names)
 
-    kind_of_id = docs.schema["doc_id"].dataType.simpleString()
-    (ordered.mapInArrow(tokenise, f"shard int, doc_id {kind_of_id}, ids binary")
+    (ordered.mapInArrow(tokenise, f"shard int, doc_id {kind_of_id}, ids binary, seen binary")
      .write.option("compression", "zstd").parquet(f"{path}/tokens"))
     tokens = spark.read.parquet(f"{path}/tokens")
 
     def count(batches):
         seen = np.zeros(0, dtype=np.int64)
         for b in batches:
-            got = np.bincount(flat_binary(b.column(0), kind)[0])
-            if len(got) > len(seen):
-                got, seen = seen, got.astype(np.int64)
-            seen[: len(got)] += got
+            for x in b.column(0):
+                got = np.frombuffer(x.as_buffer(), np.int64)
+                if len(got) > len(seen):
+                    got, seen = seen, got.copy()
+                seen[: len(got)] += got
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["token_id", "n"])
 
-    counts = (tokens.select("ids").mapInArrow(count, "token_id long, n long")
+    counts = (tokens.where("seen IS NOT NULL").select("seen").mapInArrow(count, "token_id long, n long")
               .groupBy("token_id").agg(F.sum("n").alias("n"))
               .orderBy("token_id").toPandas())  # no more rows than the vocabulary has ids
     ids = counts["token_id"].to_numpy(dtype=np.int64)
@@ -173,8 +184,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
      .coalesce(1).write.parquet(f"{path}/codebook"))
     book = spark.sparkContext.broadcast((ids, lengths))  # bounded by the vocabulary
 
-    def blocks(shard: int, number: int, rows: list[tuple]) -> pa.RecordBatch:
-        code = Codebook(*book.value)
+    def blocks(code: Codebook, shard: int, number: int, rows: list[tuple]) -> pa.RecordBatch:
         flat, bounds = flat_binary(pa.array([r[1] for r in rows], pa.binary()), kind)
         flat = flat.astype(np.int64)
         payload, starts, at = code.encode(flat, bounds)
@@ -186,24 +196,22 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
              pa.array([payload], pa.binary()), pa.array([at[first].astype("<u8").tobytes()], pa.binary())],
             names=["shard", "block", "n_ids", "doc_ids", "doc_n_ids", "payload", "checkpoints"])
 
-    id_type = pa.int64() if kind_of_id == "bigint" else pa.int32() if kind_of_id == "int" else pa.string()
-
     def encode(batches):
         width, task = np.dtype(kind).itemsize, TaskContext.get().partitionId()
-        rows, held, shard, number = [], 0, None, 0
+        code, rows, held, shard, number = Codebook(*book.value), [], 0, None, 0
         for b in batches:
             for s, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if rows and (s != shard or held >= BLOCK_IDS):
-                    yield blocks(shard, (task << 32) + number, rows)
+                    yield blocks(code, shard, (task << 32) + number, rows)
                     rows, held, number = [], 0, number + 1
                 shard = s
                 rows.append((d, x))
                 held += len(x) // width
         if rows:
-            yield blocks(shard, (task << 32) + number, rows)
+            yield blocks(code, shard, (task << 32) + number, rows)
 
     # a file of tokens is one shard; parts of a file may be read by several tasks, each makes blocks of its own
-    (tokens.mapInArrow(encode, f"shard int, block long, n_ids long, doc_ids array<{kind_of_id}>, "
+    (tokens.where("seen IS NULL").select("shard", "doc_id", "ids").mapInArrow(encode, f"shard int, block long, n_ids long, doc_ids array<{kind_of_id}>, "
                        "doc_n_ids array<long>, payload binary, checkpoints binary")
      .write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
