@@ -77,3 +77,26 @@ def test_fluss_finds_a_change_of_regime():
     found = K.fluss_boundaries(ts, 6, 2)
     assert len(found) == 1 and abs(found[0] - 60) <= 12
     assert K.fluss_boundaries(np.arange(3.0), 3, 4) == []
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e13])
+def test_near_pairs_are_those_of_all_pairs_within_a_cell(scale):
+    """Bounds and single precision leave out no pair; rows of different cells and non-finite rows have none."""
+    rng = np.random.default_rng(5)
+    steps = rng.integers(0, 6, (150, 4)).astype(float)
+    a, b = (np.repeat(x, 3, axis=1) + rng.choice([0.0, 0.1], (len(x), 12)) for x in (steps[:70], steps[40:]))
+    a[3, 4], b[5, 0] = np.nan, np.inf
+    a, b, limit = a * scale, b * scale, 2.5 * scale
+    cell_a, cell_b = np.arange(70) % 3, np.arange(110) % 4
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(70), np.arange(110), indexing="ij"))
+    same = (cell_a[ia] == cell_b[ib]) & np.isfinite(a[ia]).all(axis=1) & np.isfinite(b[ib]).all(axis=1)
+    ia, ib = ia[same], ib[same]
+    d = np.round(K.equal_length_dtw(a, b, ia, ib, limit), 9)
+    want = sorted((i, j, x) for i, j, x in zip(ia, ib, d) if x <= limit)
+    for rows in (1, 7, 64):
+        assert sorted(zip(*K.near_pairs(a, b, limit, None, cell_a, cell_b, rows))) == want
+    best = sorted(zip(*K.near_pairs(a, b, limit, 2, cell_a, cell_b)))
+    assert set(best) <= set(want) and len(want) > 20
+    for i in range(70):
+        nearest = lambda rows: sorted(x for q, _, x in rows if q == i)[:2]
+        assert nearest(best) == nearest(want)

@@ -110,3 +110,15 @@ def test_a_dense_cluster_leaves_the_kernel_cut_to_k(spark, monkeypatch, ids):
     assert len(every) > 100_000 and len(cut) < len(every) / 5
     best = lambda rows: {q: sorted((r.distance, r.group) for r in rows if r.source == q)[:5] for q in {r.source for r in rows}}
     assert best(cut) == best(every)
+
+
+def test_a_series_reaches_the_kernel_once_per_cell_and_not_once_per_pair(spark):
+    """300 series of one cell meet as two tables of 300 rows; no join makes rows of pairs or pairs of blocks."""
+    x = [[3.0 + i / 1000, 3.5, 3.25] for i in range(300)]
+    t = spark.createDataFrame(list(enumerate(x)), "group long, tx array<double>")
+    s = spark.createDataFrame(list(enumerate(x)), "source long, sx array<double>")
+    near = S.within_radius(s, t, 2.0, k=3)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+    got = near.collect()
+    assert len(got) == 900 and all(r.distance <= 0.01 for r in got)
