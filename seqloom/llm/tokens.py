@@ -7,10 +7,15 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Space between two characters that are not white space: no pre-token ever spans it.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Letters, then nothing or other visible characters that are no digits, on one line or two.
+_PARTS = re.compile(r"([^\W\d_]+)([!#-&(-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!#-&(-/:-@\[-`{-~]*))?")
 _DOUBLE = re.compile(r"\s\s")
+_DOUBLE_SPACE = "  "
 _OTHER_ASCII = ("\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -49,29 +54,41 @@ class TextEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.marks = {m: np.array(e.ids, dtype="<u4").tobytes()
-                      for m, e in zip(",.", self.tokenizer.encode_batch([",", "."], add_special_tokens=False))}
+        self.line = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.marks: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], pieces: list[str], prefix: str) -> None:
-        marked: list[str] = []
+        """Learn the ids of ``pieces`` after ``prefix``; for " ", what follows letters is looked up on its own."""
+        parts: list[tuple] = []
         if prefix and pieces:
-            # a mark after letters is a pre-token of its own
-            marked = [p for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()]
-            stems = {p[:-1] for p in marked}.difference(known)
-            pieces = self._learn_joined(known, list(stems.union(pieces).difference(marked)))
+            stems = {p for p in pieces if p.isalpha()}
+            rest = [p for p in pieces if p not in stems]
+            found = list(map(_PARTS.fullmatch, rest))
+            parts = [m.group(0, 1, 2, 3, 4) for m in found if m]
+            rest = [p for p, m in zip(rest, found) if not m]
+            # a run of letters, the marks behind it and a line feed are pre-tokens of their own
+            stems.update({x[1] for x in parts}.difference(known))
+            heads = {x[3] for x in parts if x[3]}.difference(self.plain)
+            tails = {t for x in parts for t in (x[2], x[4]) if t}.difference(self.marks)
+            self._learn(self.plain, list(heads), "")
+            self._learn(self.marks, list(tails), "")
+            pieces = self._learn_joined(known, [*stems, *rest])
         found = self.tokenizer.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)
         for p, e in zip(pieces, found):
             known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+        for p, stem, tail, head, last in parts:
+            data = known[stem] + self.marks[tail] if tail else known[stem]
+            if head:
+                data += self.line + self.plain[head]
+            known[p] = data + self.marks[last] if last else data
 
     def _learn_joined(self, known: dict[str, bytes], pieces: list[str]) -> list[str]:
         """Encode words as one text, where ids that begin with a space open the next; returns the rest."""
         plain, rest = [], []
         for p in pieces:
-            (plain if p and p.isprintable() and " " not in p and "<|" not in p else rest).append(p)
+            (plain if p.isalpha() or p and p.isprintable() and " " not in p and "<|" not in p else rest).append(p)
         for lo in range(0, len(plain), 4096):
             some = plain[lo: lo + 4096]
             ids = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
@@ -88,10 +105,10 @@ class TextEncoder:
         out: list[bytes] = []
         some: list[str] = []
         held = 0
-        for text in texts:  # pieces of about a million characters at a time
+        for text in texts:  # pieces of about four million characters at a time
             some.append(text or "")
             held += len(some[-1])
-            if held >= 1 << 20:
+            if held >= 1 << 22:
                 out += self._encode(some, end)
                 some, held = [], 0
         return out + self._encode(some, end)
@@ -99,21 +116,48 @@ class TextEncoder:
     def _encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.spaced) > self.limit:
             self.spaced.clear()
-        if len(self.plain) > self.limit:
-            self.plain.clear()
-        cut, first, later = [], set(), set()
-        for text in texts:
-            parts = text.split(" ")
-            if "" in parts or _near_other_space(text):
-                pieces = _CUT.split(text)
-                parts = [pieces[0], *[p[1:] for p in pieces[1:]]]
-            cut.append(parts)
-            first.add(parts[0])
-            later.update(parts[1:])
-        self._learn(self.plain, list(first.difference(self.plain)), "")
-        self._learn(self.spaced, list(later.difference(self.spaced)), " ")
-        get = self.spaced.__getitem__
-        return [self.plain[p[0]] + b"".join(map(get, p[1:])) + end for p in cut]
+        for known in (self.plain, self.marks):
+            if len(known) > self.limit:
+                known.clear()
+        odd = [i for i, text in enumerate(texts) if _DOUBLE_SPACE in text or text[:1] == " " or text[-1:] == " "
+               or _near_other_space(text)]
+        out: list[bytes] = [b""] * len(texts)
+        for i in odd:
+            pieces = _CUT.split(texts[i])
+            parts = [p[1:] for p in pieces[1:]]
+            self._learn(self.plain, list({pieces[0]}.difference(self.plain)), "")
+            self._learn(self.spaced, list(set(parts).difference(self.spaced)), " ")
+            out[i] = self.plain[pieces[0]] + b"".join(map(self.spaced.__getitem__, parts)) + end
+        skip = set(odd)
+        rows = [i for i in range(len(texts)) if i not in skip]
+        if rows:
+            for i, data in zip(rows, self._encode_words([texts[i] for i in rows])):
+                out[i] = data + end
+        return out
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts whose words are one space apart: different words are looked up once, ids gathered by word."""
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        begin = cut.offsets.to_numpy().astype(np.int64)
+        found = cut.flatten().dictionary_encode()
+        different, at = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy().astype(np.int64)
+        first = [different[i] for i in at[begin[:-1]].tolist()]
+        # the first word of a text follows no space
+        at[begin[:-1]] = len(different) + np.arange(len(texts))
+        self._learn(self.plain, list(set(first).difference(self.plain)), "")
+        data = list(map(self.spaced.get, different))
+        new = [i for i, x in enumerate(data) if x is None]
+        self._learn(self.spaced, [different[i] for i in new], " ")
+        for i in new:
+            data[i] = self.spaced[different[i]]
+        data.extend(map(self.plain.__getitem__, first))
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        start = np.cumsum(size) - size
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(data), "<u4")[np.repeat(start[at] - ends + n, n) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[begin].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(bounds, bounds[1:])]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
