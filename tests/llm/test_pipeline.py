@@ -222,3 +222,20 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
+    """The stage asks the operator of op2 for links; its pairs connect all fingerprints at most two bits apart."""
+    rows, asked, own = edited(), [], simhash.near_links
+    monkeypatch.setattr(near_text.simhash, "near_links", lambda fps, **k: asked.append(1) or own(fps, **k))
+    texts = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id v", "text")
+    same = {r[0]: r[0] for r in rows}
+    for r in near_text.fingerprint_pairs(texts).collect():
+        x, y = same[r.a], same[r.b]
+        same = {k: y if v == x else v for k, v in same.items()}
+    fps = {r[0]: simhash.fingerprint(r[1]) for r in rows}
+    close = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert close and asked and all(same[i] == same[j] for i, j in close)
+    asked.clear()
+    cp.drop_near_duplicates(spark, spark.createDataFrame(rows[:5], SCHEMA), "").collect()
+    assert asked
