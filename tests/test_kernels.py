@@ -100,3 +100,24 @@ def test_near_pairs_are_those_of_all_pairs_within_a_cell(scale):
     for i in range(70):
         nearest = lambda rows: sorted(x for q, _, x in rows if q == i)[:2]
         assert nearest(best) == nearest(want)
+
+
+@pytest.mark.parametrize("constraint,radius", [(None, 5), ("sakoe_chiba", 0), ("sakoe_chiba", 2), ("itakura", 5)])
+def test_pairs_of_one_block_with_different_bands(constraint, radius):
+    """Distances of pairs of many lengths at once are those of each pair alone; beyond its limit a pair may be infinite."""
+    rnd = np.random.default_rng(3)
+    a, b = ([rnd.integers(0, 9, rnd.integers(1, 25)).astype(float) for _ in range(60)] for _ in range(2))
+    each = []
+    for x, y in zip(a, b):
+        acc = np.full((len(x) + 1, len(y) + 1), np.inf)
+        acc[0, 0] = 0.0
+        for i, j in np.ndindex(len(x), len(y)):
+            size = [np.array([len(x)]), np.array([len(y)])]
+            if constraint is None or K._allowed(np.array([i]), np.array([j]), *size, constraint, radius, 3.0)[0, 0]:
+                acc[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(acc[i, j], acc[i, j + 1], acc[i + 1, j])
+        each.append(np.sqrt(acc[-1, -1]))
+    assert K.distances("dtw", a, b, constraint, radius).tolist() == each
+    limit, at = rnd.uniform(1, 25, 60), np.arange(60)
+    near = K.dtw_within(a, b, at, at, limit, False, constraint, radius)
+    assert [x for x, y, m in zip(near, each, limit) if y <= m] == [y for y, m in zip(each, limit) if y <= m]
+    assert all(x == y or x == np.inf for x, y, m in zip(near, each, limit) if y > m)
