@@ -19,6 +19,8 @@ from seqloom.session import parallelism
 
 #: Positions of a block, and cells of a tile that are in memory at once.
 BLOCK, CELLS = 4096, 262_144
+#: Positions that leave a task at once.
+ROWS = 65_536
 #: Distances are rounded, so that neighbours tie alike whatever the order of summation.
 DIGITS = 9
 
@@ -118,6 +120,7 @@ def matrix_profile(ticks: DataFrame, track: str, value: str, m: int, block: int
     key = pairs.schema[track]
 
     def nearest(batches):
+        held, rows = [], 0
         for batch in batches:
             for r in range(len(batch)):
                 i, j = batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
@@ -132,9 +135,15 @@ def matrix_profile(ticks: DataFrame, track: str, value: str, m: int, block: int
                     da, ta = np.concatenate([da, db]), np.concatenate([ta, tb])
                     t = np.concatenate([t, j * size + np.arange(len(db))])
                 found = np.isfinite(da)
-                yield pa.RecordBatch.from_arrays([
+                held.append(pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(np.full(len(t), r))), pa.array(t),
-                    pa.array(da, mask=~found), pa.array(ta, mask=~found)], names=[track, "t", "d2", "nn"])
+                    pa.array(da, mask=~found), pa.array(ta, mask=~found)], names=[track, "t", "d2", "nn"]))
+                rows += len(t)
+                if rows >= ROWS:  # many short tracks leave together
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     schema = T.StructType([key, T.StructField("t", T.LongType()), T.StructField("d2", T.DoubleType()),
                            T.StructField("nn", T.LongType())])
@@ -174,15 +183,32 @@ def deepest(positions: np.ndarray, values: np.ndarray, guard: int, most: int) ->
     return taken
 
 
-def regime_changes(ticks: DataFrame, track: str, value: str, cfg: Config = DEFAULT, block: int = BLOCK) -> DataFrame:
-    """(track, picks): the deepest minima of the arc curve, the deepest first; one for each region but the first.
+def changes_of_one_block(ts: np.ndarray, m: int, most: int) -> list[int]:
+    """The picks of `regime_changes` for a track whose subsequences are one tile: neighbours, arc curve and minima at once."""
+    if len(ts) < m:
+        return []
+    d, nn, _, _ = nearest_in_tile(ts, ts, 0, 0, m)
+    n = len(d)
+    t = np.arange(n)
+    nn = np.where(np.isfinite(d), nn, t)
+    crossing = np.cumsum(np.bincount(np.minimum(t, nn), minlength=n) - np.bincount(np.maximum(t, nn), minlength=n))
+    ideal = 2.0 * t * (n - t) / n
+    inside = np.flatnonzero((t >= 5 * m) & (t < n - 5 * m) & (ideal > 0))
+    cac = crossing[inside] / ideal[inside]
+    return deepest(inside[cac < 1], cac[cac < 1], 5 * m, most)
 
-    One curve serves every number of regions: ``k`` regions begin at the first ``k - 1`` picks.
+
+def regime_changes(series: DataFrame, track: str, cfg: Config = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """``series`` (track, ts) with ``picks``: the deepest minima of the arc curve, the deepest first.
+
+    There is one for each region but the first, and one curve serves every number of regions: ``k`` regions begin at the
+    first ``k - 1`` picks. A track of one block stays one row and shuffles nothing; the positions of a longer one become
+    rows, whose tiles several tasks work on. A null track has no picks.
     """
     m, most = cfg.fluss_m, max(cfg.n_regions) - 1
-    curve = arc_curve(matrix_profile(ticks, track, value, m, block), track, m).where("cac < 1")
+    picks = T.ArrayType(T.LongType())
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(picks)
     def pick(points: pa.Array) -> pa.Array:
         out = []
         for part in points:
@@ -190,5 +216,16 @@ def regime_changes(ticks: DataFrame, track: str, value: str, cfg: Config = DEFAU
             out.append(deepest(v.field("t").to_numpy(), v.field("cac").to_numpy(), 5 * m, most))
         return pa.array(out, pa.list_(pa.int64()))
 
-    return (curve.groupBy(track).agg(F.collect_list(F.struct("t", "cac")).alias("_p"))
-            .select(track, pick("_p").alias("picks")))
+    @F.arrow_udf(picks)
+    def at_once(tracks: pa.Array) -> pa.Array:
+        return pa.array([changes_of_one_block(x.values.to_numpy(zero_copy_only=False).astype(float), m, most)
+                         if x.is_valid else None for x in tracks], pa.list_(pa.int64()))
+
+    short = F.size("ts") <= max(block, m)
+    ticks = (series.where(~short).select(track, F.posexplode("ts").alias("_t", "_v"))
+             .select(track, F.col("_t").cast("long").alias("t"), "_v"))
+    curve = arc_curve(matrix_profile(ticks, track, "_v", m, block), track, m).where("cac < 1")
+    tiled = (curve.groupBy(track).agg(F.collect_list(F.struct("t", "cac")).alias("_p"))
+             .select(track, pick("_p").alias("_long")))
+    return (series.withColumn("_short", at_once(F.when(short & F.col(track).isNotNull(), F.col("ts"))))
+            .join(tiled, track, "left").withColumn("picks", F.coalesce("_short", "_long")).drop("_short", "_long"))

@@ -101,3 +101,25 @@ def test_a_bad_track_is_reported_and_the_others_go_on(spark):
         for params in {r.params for r in got if r.method == method}:
             mine = sorted((r for r in got if r.method == method and r.params == params), key=lambda r: r.seg_ord)
             assert sum((list(r.ts) for r in mine), []) == [float(v) for v in TRACKS["steps"]]
+
+
+def test_a_track_of_one_block_is_one_row(spark):
+    """Short tracks get their picks without a row per position leaving the kernel; both ways give the same."""
+    tracks = spark.createDataFrame([(k, [int(v) for v in ts]) for k, ts in TRACKS.items()] + [(None, [1, 2] * 60)],
+                                   "track string, ts array<int>")
+    whole = R.regime_changes(tracks, "track")
+    assert "at_once" in whole._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.track: r.picks or [] for r in whole.collect()}
+    assert got == {r.track: r.picks or [] for r in R.regime_changes(tracks, "track", DEFAULT, 30).collect()}
+    assert len(got) == len(TRACKS) + 1 and got[None] == [] and len(got["long"]) == max(DEFAULT.n_regions) - 1
+
+
+def test_the_profile_of_many_tracks_leaves_in_few_batches(spark, monkeypatch):
+    sizes = []
+    frame = spark.createDataFrame([(f"t{k}", t, (k * t) % 7) for k in range(40) for t in range(30)], "track string, t long, v int")
+    tiles = R.tiles(frame, "track", "v", 3, 4096).coalesce(1)
+    monkeypatch.setattr(R, "tiles", lambda *a: tiles)
+    monkeypatch.setattr(type(tiles), "mapInArrow", lambda self, f, schema: sizes.extend(
+        len(b) for b in f(self.toArrow().to_batches())) or spark.createDataFrame([], schema))
+    R.matrix_profile(frame, "track", "v", 3)
+    assert sum(sizes) == 40 * 28 and max(sizes) > 28 * 2
