@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,27 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 1024
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS):
+    """What runs inside sends at most ``rows`` rows to Python at once.
+
+    A batch of ten thousand texts is held several times: in the JVM outside of its heap, where the buffer grows by
+    doubling, in the stream and in the worker, for each task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:  # zero or less: no limit
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -239,3 +239,26 @@ def test_near_dedup_links_by_fingerprints_first(spark, monkeypatch):
     asked.clear()
     cp.drop_near_duplicates(spark, spark.createDataFrame(rows[:5], SCHEMA), "").collect()
     assert asked
+
+
+def test_near_dedup_sends_few_texts_at_once(spark, monkeypatch):
+    """Arrow batches of whole texts stay small in the stage, and the session's own limit is as before after it."""
+    from seqloom.llm import near_text
+    from seqloom.llm.common import TEXT_ROWS, text_batches
+
+    name, seen, links = "spark.sql.execution.arrow.maxRecordsPerBatch", [], near_text.near_links
+
+    def watched(texts):
+        seen.append(int(spark.conf.get(name)))
+        return links(texts)
+
+    monkeypatch.setattr(near_text, "near_links", watched)
+    before = spark.conf.get(name)
+    assert int(before) > TEXT_ROWS
+    near_text.class_components(spark.createDataFrame([("a b c",), ("a b c",), ("d",)], "text string")).collect()
+    assert seen == [TEXT_ROWS] and spark.conf.get(name) == before
+    with text_batches(spark, 7):
+        with text_batches(spark):
+            assert spark.conf.get(name) == "7"  # a smaller limit holds
+        rows = spark.range(0, 100, 1, 1).mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), "id long").count()
+    assert rows == 15 and spark.conf.get(name) == before
