@@ -124,8 +124,10 @@ def coverage(segments: DataFrame, known: DataFrame, cfg: Config = DEFAULT, by: t
     distance. Columns ``by`` keep several segmentations apart in one pass.
     """
     size = cfg.resampling_size
-    targets = (segments.select(*by, F.struct(*by, "id").alias("id"), resample(F.col("ts"), size).alias("tx"))
-               .groupBy(*by, "tx").agg(F.array(F.min("id")).alias("ids")))
+    # grouped by their hash first: a sort of arrays compares them element by element
+    targets = (segments.select(*by, "id", resample(F.col("ts"), size).alias("tx")).withColumn("hash", F.xxhash64("tx"))
+               .groupBy("hash", *by, "tx").agg(F.min("id").alias("id"))
+               .select(*by, "tx", F.array(F.struct(*by, "id")).alias("ids")))
     sources = known.select(*by, F.struct(*by, "label").alias("source"), resample(F.col("ts"), size).alias("sx"))
     near = (nearest_within(sources, targets, 1, cfg.dist_threshold, by=by)
             .select(*[F.col(f"source.{c}").alias(c) for c in (*by, "label")], "distance"))
