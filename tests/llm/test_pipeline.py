@@ -262,3 +262,32 @@ def test_near_dedup_sends_few_texts_at_once(spark, monkeypatch):
             assert spark.conf.get(name) == "7"  # a smaller limit holds
         rows = spark.range(0, 100, 1, 1).mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), "id long").count()
     assert rows == 15 and spark.conf.get(name) == before
+
+
+def test_shingles_of_all_texts_are_counted(spark):
+    """A passage that a few of many texts share is known to be frequent: no text is left out of the count."""
+    rnd = random.Random(23)
+    name = lambda: "".join(rnd.choices("abcdefgh", k=9))
+    passage = " ".join(name() for _ in range(8))
+    rows = [(v, " ".join(name() for _ in range(6)) + (f" {passage}" if v < 5 else "")) for v in range(1, 401)]
+    texts = spark.createDataFrame(rows, "v long, text string").repartition(5)
+    levels = near_text.frequent_shingles(texts)
+    bucket = lambda t: (near_text.shingles(t) >> np.uint64(64 - near_text.BUCKET_BITS)).tolist()
+    want = defaultdict(Counter)
+    for _, t in rows:
+        for s in near_text.shingles(t).tolist():
+            want[s >> (64 - near_text.BUCKET_BITS)][s] += 1
+    frequent = {b: int(8 * np.log2(max(c.values()))) for b, c in want.items() if max(c.values()) >= near_text.FREQUENT}
+    assert set(bucket(passage)) <= set(frequent)
+    assert {int(b): int(levels[b]) for b in np.flatnonzero(levels)} == frequent
+    # the passage comes last in the order, so no prefix holds it
+    held = {r.token for r in near_text.prefixes(texts).where("v < 5").collect()}
+    assert not held & set(near_text.shingles(passage).view(np.int64).tolist())
+
+
+def test_a_large_corpus_is_counted_whole(spark):
+    """The old count took one text of several as soon as there were 20,000; the shingles of every text count."""
+    rows = spark.range(20_000).selectExpr("id as v", "if(id % 2 = 1 and id < 7, 'one two three four five', cast(id as string)) as text")
+    levels = near_text.frequent_shingles(rows)
+    at = int(near_text.shingles("one two three four five")[0] >> np.uint64(64 - near_text.BUCKET_BITS))
+    assert levels[at] == int(8 * np.log2(3))
